@@ -18,6 +18,7 @@ def get_session(app: str = "veilwright", cpus: int | None = None, **conf: str) -
         .master(f"local[{cpus or '*'}]")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", str(cpus or 8))
         .config("spark.driver.memory", "8g")
     )
