@@ -2,22 +2,44 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: 64-bit words of the filter: at most this many rows of two numbers are broadcast, whatever the input.
 FILTER_WORDS = 1 << 16
 
 
-def maybe_in(df: DataFrame, key, keys: DataFrame, key_col: str) -> DataFrame:
-    """Rows of ``df`` whose ``key`` may be in ``keys[key_col]``; none that is in it is lost.
+def slot(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 6) % FILTER_WORDS
+
+
+def bit(h: str) -> Column:
+    return F.expr(f"shiftleft(1L, cast({h} & 63 as int))")
+
+
+def bitset(hashes: DataFrame, h: str) -> DataFrame:
+    """(_slot, _bits): one bit set for each hash in column ``h``."""
+    return hashes.select(slot(F.col(h)).alias("_slot"), bit(h).alias("_b")).groupBy("_slot").agg(F.bit_or("_b").alias("_bits"))
+
+
+def marked(df: DataFrame, key: str | Column, keys: DataFrame, key_col: str, flag: str = "_maybe") -> DataFrame:
+    """``df`` with a flag: false only where ``key`` is surely not in ``keys[key_col]``.
 
     The keys set bits of FILTER_WORDS 64-bit words (1 MB); false positives grow with their
     number, so an exact join must follow where they matter. It only saves that join's shuffle.
     """
-    h = F.xxhash64(F.col(key_col))
-    words = keys.select((F.shiftrightunsigned(h, 6) % FILTER_WORDS).alias("_w"), F.expr("shiftleft(1L, cast(" + f"xxhash64({key_col})" + " & 63 as int))").alias("_b"))
-    words = words.groupBy("_w").agg(F.bit_or("_b").alias("_bits"))
-    marked = df.withColumn("_h", F.xxhash64(key)).withColumn("_w", F.shiftrightunsigned("_h", 6) % FILTER_WORDS)
-    hit = marked.join(F.broadcast(words), "_w").where("(_bits & shiftleft(1L, cast(_h & 63 as int))) <> 0")
-    return hit.drop("_w", "_h", "_bits")
+    words = bitset(keys.select(F.xxhash64(key_col).alias("_h")), "_h")
+    hit = df.withColumn("_h", F.xxhash64(key)).withColumn("_slot", slot(F.col("_h"))).join(F.broadcast(words), "_slot", "left")
+    return hit.withColumn(flag, F.coalesce(F.col("_bits").bitwiseAND(bit("_h")) != 0, F.lit(False))).drop("_slot", "_h", "_bits")
+
+
+def maybe_in(df: DataFrame, key: str | Column, keys: DataFrame, key_col: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` may be in ``keys[key_col]``; none that is in it is lost."""
+    return marked(df, key, keys, key_col).where("_maybe").drop("_maybe")
+
+
+def without(df: DataFrame, key: str, keys: DataFrame, key_col: str) -> DataFrame:
+    """Rows of ``df`` whose ``key`` is not in ``keys[key_col]``; only those that may be are shuffled."""
+    rows = marked(df, key, keys, key_col)
+    sure, rest = rows.where("not _maybe").drop("_maybe"), rows.where("_maybe").drop("_maybe")
+    return sure.unionByName(rest.join(keys.select(F.col(key_col).alias(key)).distinct(), key, "left_anti").select(*sure.columns))

@@ -10,14 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .banding import linked_components
 from .filters import maybe_in
-from .graph import connected_components
 from .words import WordHashes, mix, shingle_sets, slices
 
 WORDS = 5
 THRESHOLD = 0.8
 #: 100 permutations give 200 values, in 40 bands of 5: a pair at similarity 0.8 is missed with probability (1 - 0.8**5)**40 = 1e-7.
 BANDS, ROWS = 40, 5
+#: 1024 bits.
+SKETCH_WORDS = 16
+SKETCH = [f"s{i}" for i in range(SKETCH_WORDS)]
 
 
 def signatures(value: np.ndarray, n: np.ndarray, bands: int, rows: int, seed: int = 7) -> np.ndarray:
@@ -49,6 +52,18 @@ def signatures(value: np.ndarray, n: np.ndarray, bands: int, rows: int, seed: in
     return out
 
 
+def parity_sketch(value: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """SKETCH_WORDS 64-bit words for each set: bit i is the parity of its members that hash to i.
+
+    The sketches of two sets differ in no more bits than the sets do in members, so a pair whose
+    sketches differ in more bits than its similarity allows can be left out for certain.
+    """
+    out = np.zeros((len(n), SKETCH_WORDS), np.uint64)
+    at = value >> np.uint64(64 - 10)
+    np.bitwise_xor.at(out, (np.repeat(np.arange(len(n)), n), (at >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (at & np.uint64(63)))
+    return out
+
+
 def _features(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = WordHashes()
@@ -63,9 +78,11 @@ def _features(words: int, bands: int, rows: int):
                     np.add.at(total, doc, mix(value ^ np.uint64(salt)))
                     keys.append(total.astype(np.int64))
                 offsets = pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32))
+                sketch = parity_sketch(value, n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(offsets, pa.array(sig.astype(np.int64).ravel()))],
-                    names=["id", "n", "k1", "k2", "bands"],
+                    [pa.array(ids, pa.int64()), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(offsets, pa.array(sig.astype(np.int64).ravel()))]
+                    + [pa.array(sketch[:, i]) for i in range(SKETCH_WORDS)],
+                    names=["id", "n", "k1", "k2", "bands", *SKETCH],
                 )
 
     return run
@@ -108,10 +125,8 @@ def near_duplicates(
     """(id, n_shingles, component_id, kept): near-duplicate components by word shingles.
 
     Texts with equal shingle sets are one class, so that copies cost one row from there on.
-    Classes that share a band are candidates. Each bucket's smallest class is first compared
-    with the others; where a bucket still spans several components, all of its pairs across
-    components are compared, so no candidate is left unchecked unless its ends are already
-    joined. Comparison is on full shingle sets.
+    Classes that share a band are candidates; each pair is confirmed on full shingle sets
+    unless its classes are already joined (see ``linked_components``).
 
     Null texts are empty; empty texts and rows with a null id link with nothing and are kept
     (a null id has a null component). Rows that repeat an id are returned each. Other columns
@@ -119,32 +134,21 @@ def near_duplicates(
     """
     percent = round(100 * threshold)
     source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    features = staged(source.mapInArrow(_features(words, bands, rows), "id long, n long, k1 long, k2 long, bands array<long>"), "features")
+    schema = "id long, n long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+    features = staged(source.mapInArrow(_features(words, bands, rows), schema), "features")
     key = ["n", "k1", "k2"]
-    classes = features.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"))
+    classes = features.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in SKETCH])
     classes = staged(classes, "classes")
-    entries = classes.select("rep", "n", F.explode("bands").alias("h"))
-    buckets = entries.groupBy("h").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("h", "center")
-    shared = staged(entries.join(staged(buckets, "buckets"), "h"), "shared")
-    stars = staged(shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), "stars")
-    wanted = staged(shared.select("rep").distinct(), "wanted")
-    texts = maybe_in(source, "id", wanted, "rep").join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
-    sets = staged(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets")
-    links = staged(_linked(stars, sets, percent), "links")
-    parts = staged(connected_components(links, "a", "b"), "parts")
-    placed = shared.join(parts, shared["rep"] == parts["node"], "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("part"))
-    placed = staged(placed, "placed")
-    mixed = placed.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("h")
-    open_rows = staged(placed.join(staged(mixed, "mixed"), "h", "left_semi"), "open")
-    one = open_rows.select("h", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("part").alias("pa"))
-    two = open_rows.select("h", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("part").alias("pb"))
-    rest = one.join(two, "h").where("a < b and pa <> pb").where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))
-    rest = rest.select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
-    more = staged(_linked(staged(rest, "rest"), sets, percent), "more")
-    if not more.isEmpty():
-        parts = staged(connected_components(links.union(more), "a", "b"), "parts")
+    entries = classes.select(F.explode("bands").alias("h"), "rep", "n")
+
+    def prepare(wanted: DataFrame):
+        texts = maybe_in(source, "id", wanted, "rep").join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
+        sets = staged(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets")
+        return lambda pairs: _linked(pairs, sets, percent)
+
+    parts = linked_components(entries, prepare, percent, "minhash", classes.select("rep", *SKETCH))
     named = classes.join(parts, classes["rep"] == parts["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = features.drop("bands").join(staged(named, "named"), key, "left")
+    out = features.drop("bands", *SKETCH).join(staged(named, "named"), key, "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(
         F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
