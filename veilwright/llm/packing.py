@@ -22,7 +22,8 @@ END = 1
 GROUP = 4096
 #: A sequence with more room than this share is taken apart once more, with those of other groups.
 LOOSE = 0.01
-CACHE_CHUNKS = 500_000
+#: Chunks and their parts that a worker remembers, about 150 bytes each.
+CACHE_CHUNKS, CACHE_PARTS = 700_000, 1_200_000
 
 _PLAIN = re.compile("([a-zÀ-ÖØ-öø-ɏ]+)([,.!?;:*$%&#|]+)")
 _encoders: dict[str, ChunkIds] = {}
@@ -57,7 +58,7 @@ class ChunkIds(dict):
     def _part(self, text: str) -> bytes:
         found = self.parts.get(text)
         if found is None:
-            if len(self.parts) >= CACHE_CHUNKS:
+            if len(self.parts) >= CACHE_PARTS:
                 self.parts.clear()
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
             found = self.parts[text] = np.array(ids, "<u4").tobytes()
