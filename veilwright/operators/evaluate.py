@@ -47,17 +47,28 @@ def matched(left: list[tuple[int, int]], right: list[tuple[int, int]]) -> int:
 
 
 def overlap_scores(found: DataFrame, gold: DataFrame, key_col: str) -> DataFrame:
-    """Like exact_scores, but a finding may match any gold span of its label that it overlaps, one to one."""
+    """Like exact_scores, but a finding may match any gold span of its label that it overlaps, one to one.
+
+    Spans that overlap one other at most are matched by a join; only texts where a span has
+    several partners are matched group by group.
+    """
     key = [key_col, *SPAN]
-    rows = found.select(*key).distinct().withColumn("_f", F.lit(True)).unionByName(gold.select(*key).distinct().withColumn("_f", F.lit(False)))
+    a, b = found.select(*key).distinct(), gold.select(*key).distinct()
+    right = b.toDF("_k", "_l", "_s", "_e")
+    pairs = a.join(right, (F.col(key_col) == F.col("_k")) & (F.col("label") == F.col("_l")) & (F.col("start") < F.col("_e")) & (F.col("_s") < F.col("end")))
+    ends = pairs.select(key_col, "label", F.array(F.struct(F.lit(True).alias("f"), F.col("start").alias("s"), F.col("end").alias("e")), F.struct(F.lit(False).alias("f"), F.col("_s").alias("s"), F.col("_e").alias("e"))).alias("x"))
+    dense = ends.select(key_col, "label", F.explode("x").alias("x")).groupBy(key_col, "label", "x").count().where("count > 1").select(key_col, "label").distinct()
+    simple = pairs.join(dense, [key_col, "label"], "left_anti").groupBy("label").agg(F.count("*").alias("tp"))
+    rows = a.withColumn("_f", F.lit(True)).unionByName(b.withColumn("_f", F.lit(False))).join(dense, [key_col, "label"], "left_semi")
 
     def match(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = ([tuple(x) for x in group[group["_f"] == side][["start", "end"]].sort_values(["start", "end"]).values.tolist()] for side in (True, False))
-        n = matched(a, b)
-        return pd.DataFrame([(group["label"].iloc[0], n, len(a) - n, len(b) - n)], columns=["label", "tp", "fp", "fn"])
+        sides = ([tuple(x) for x in group[group["_f"] == side][["start", "end"]].sort_values(["start", "end"]).values.tolist()] for side in (True, False))
+        return pd.DataFrame([(group["label"].iloc[0], matched(*sides))], columns=["label", "tp"])
 
-    per = rows.groupBy(key_col, "label").applyInPandas(match, "label string, tp long, fp long, fn long")
-    return _with_rates(per.groupBy("label").agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")]))
+    hits = rows.groupBy(key_col, "label").applyInPandas(match, "label string, tp long").unionByName(simple).groupBy("label").agg(F.sum("tp").alias("tp"))
+    totals = a.groupBy("label").agg(F.count("*").alias("a")).join(b.groupBy("label").agg(F.count("*").alias("b")), "label", "full").join(hits, "label", "left")
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    return _with_rates(totals.select("label", n("tp").alias("tp"), (n("a") - n("tp")).alias("fp"), (n("b") - n("tp")).alias("fn")))
 
 
 def gate(scores: DataFrame, baseline: DataFrame, points: float = 0.0) -> DataFrame:
