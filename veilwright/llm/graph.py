@@ -15,8 +15,8 @@ def _mark(edges: DataFrame):
     return tuple(
         edges.agg(
             F.count("*"),
-            F.sum(F.xxhash64("u", "v") % F.lit(1 << 40)),
-            F.sum(F.xxhash64("v", "u") % F.lit(1 << 40)),
+            F.sum(F.xxhash64("u", "v") % F.lit(1 << 20)),
+            F.sum(F.xxhash64("v", "u") % F.lit(1 << 20)),
         ).first()
     )
 

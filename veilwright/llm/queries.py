@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, embeddings, exact, minhash, packing, quality, secrets, urls
+from . import bpe, chat, embeddings, exact, lines, minhash, packing, quality, secrets, urls
 
 #: Where the vocabulary files of the public tokenizers lie on every machine.
 TOKENIZERS = "/opt/tokenizers"
@@ -56,6 +56,10 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", "predicted")
 
 
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.fuzzy_lines(table(spark, sf_dir, "documents"))
+
+
 def op7_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     bad = ((F.col("quality") == 0) | (F.col("toxic") == 1)).cast("int")
     outcomes = table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("page_id"), F.coalesce(bad, F.lit(0)).alias("bad"))
@@ -80,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_preferences": op3_preferences,
     "op4_embeddings": op4_embeddings,
     "op5_quality": op5_quality,
+    "op6_lines": op6_lines,
     "op7_urls": op7_urls,
     "op8_bpe": op8_bpe,
     "op9_packing": op9_packing,
