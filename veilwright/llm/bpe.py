@@ -6,6 +6,7 @@ import hashlib
 import heapq
 import json
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -16,16 +17,17 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
 from .lexicon import Lexicon, build
 from .words import slices
 
 #: Words compiled into the lexicon, each with and without a space before it.
 LEXICON_WORDS = 50_000
-CACHE = 300_000
+CACHE = 500_000
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: Coarser, and cutting only where the pattern above does: what lies between white space is cached whole.
-_CHUNK = regex.compile(r" ?\S+|\s+(?!\S)|\s+")
+#: Where a run of white space goes on across a single space, a text cannot be cut at its spaces.
+_ACROSS = re.compile(r"\s \s")
 _coders: dict[tuple[str, str | None], Coder] = {}
 
 
@@ -55,25 +57,27 @@ class Coder:
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        self._words: dict[str, list[int]] = {}
-        self._text: dict[str, bytes] = _Chunks(self._ids_text)
-        self._back: dict[str, bytes] = _Chunks(self._decoded)
+        #: Whether all words so far decoded to themselves, as those of a complete byte alphabet do.
+        self.faithful = True
+        self._words = _Cache(self._word_ids)
+        self._bare = _Cache(self._chunk_ids)
+        self._spaced = _Cache(lambda chunk: self._chunk_ids(" " + chunk))
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merges of one word: always the leftmost of the pairs of lowest rank."""
         ids = [self.single[b] for b in word]
-        get = self.merges.get
         if len(ids) > 48:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at = None, -1
-            for i in range(len(ids) - 1):
-                found = get((ids[i], ids[i + 1]))
-                if found and (best is None or found < best):
-                    best, at = found, i
-            if best is None:
-                break
-            ids[at : at + 2] = [best[1]]
+        get = self.merges.get
+        found = [get(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) is not _NONE:
+            i = found.index(best)
+            ids[i : i + 2] = [best[1]]
+            del found[i]
+            if i:
+                found[i - 1] = get((ids[i - 1], best[1]), _NONE)
+            if i < len(found):
+                found[i] = get((best[1], ids[i + 1]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -97,66 +101,70 @@ class Coder:
         return [i for i in ids if i >= 0]
 
     def word(self, word: str) -> list[int]:
-        ids = self._words.get(word)
-        if ids is None:
-            if len(self._words) >= CACHE:
-                self._words.clear()
-            raw = word.encode()
-            ids = self.lexicon.get(raw) if self.lexicon else None
-            if ids is None:
-                ids = self.merge(raw)
-            if len(word) < 64:
-                self._words[word] = ids
-        return ids
+        """The lexicon's ids, or exact merges for a word that it lacks."""
+        raw = word.encode()
+        ids = self.lexicon.get(raw) if self.lexicon else None
+        return self.merge(raw) if ids is None else ids
 
-    def chunk(self, chunk: str) -> list[int]:
-        return [i for word in _SPLIT.findall(chunk) for i in self.word(word)]
+    def encode(self, text: str) -> list[int]:
+        joined = self.encode_text(text)
+        return list(map(int, joined.split(b","))) if joined else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.tokens[i] for i in ids]).decode("utf-8", "replace")
 
-    def encode(self, text: str) -> list[int]:
-        out: list[int] = []
-        for part in self._parts(text):
-            out += [self.special[part]] if part in self.special else [i for c in _CHUNK.findall(part) for i in self.chunk(c)]
-        return out
-
-    def _parts(self, text: str) -> list[str]:
-        """``text`` cut around special tokens, which stand for themselves wherever they occur."""
-        return [p for p in self._special.split(text) if p] if self._special else [text]
+    def encode_text(self, text: str) -> bytes:
+        """Decimal ids joined by commas. Special tokens' strings stand for themselves wherever they occur."""
+        out: list[bytes] = []
+        for part in self._special.split(text) if self._special else [text]:
+            if not part:
+                continue
+            if part in self.special:
+                out.append(b"%d" % self.special[part])
+            elif _ACROSS.search(part):
+                out.append(self._chunk_ids(part))
+            else:
+                first, *rest = part.split(" ")
+                if first:
+                    out.append(self._bare[first])
+                out += map(self._spaced.__getitem__, rest)
+        return b",".join(out)
 
-    def _ids_text(self, chunk: str) -> bytes:
-        return ",".join(map(str, self.chunk(chunk))).encode()
+    def _chunk_ids(self, chunk: str) -> bytes:
+        return b",".join(map(self._words.__getitem__, _SPLIT.findall(chunk)))
 
-    def _decoded(self, chunk: str) -> bytes:
-        return b"".join([self.tokens[i] for i in map(int, self._text[chunk].split(b","))])
+    def _word_ids(self, word: str) -> bytes:
+        ids = self.word(word)
+        self.faithful &= b"".join([self.tokens[i] for i in ids]) == word.encode()
+        return ",".join(map(str, ids)).encode()
 
     def round_trip(self, text: str) -> tuple[bytes, bytes]:
-        """Decimal ids joined by commas, and the bytes that these ids stand for."""
-        ids, back = [], []
-        for part in self._parts(text):
-            if part in self.special:
-                ids.append(b"%d" % self.special[part])
-                back.append(part.encode())
-            else:
-                chunks = _CHUNK.findall(part)
-                ids += map(self._text.__getitem__, chunks)
-                back += map(self._back.__getitem__, chunks)
-        return b",".join(ids), b"".join(back).decode("utf-8", "replace").encode()
+        """Decimal ids joined by commas, and the text that they decode to, in UTF-8.
+
+        Each word is decoded when it is first encoded. As long as all came out as they went in,
+        and special tokens do by their definition, a text's words put together are the text.
+        """
+        joined = self.encode_text(text)
+        if self.faithful:
+            return joined, text.encode()
+        return joined, self.decode(list(map(int, joined.split(b","))) if joined else []).encode()
 
 
-class _Chunks(dict):
-    """What ``make`` gives for a chunk; long chunks are not kept, and all go when it is full."""
+_NONE = (1 << 30, -1)
+
+
+class _Cache(dict):
+    """What ``make`` gives for a text; long texts are not kept, and all go when it is full."""
 
     def __init__(self, make):
         self.make = make
 
-    def __missing__(self, chunk: str) -> bytes:
-        value = self.make(chunk)
-        if len(chunk) < 64:
+    def __missing__(self, text: str) -> bytes:
+        value = self.make(text)
+        if len(text) < 64:
             if len(self) >= CACHE:
                 self.clear()
-            self[chunk] = value
+            self[text] = value
         return value
 
 
@@ -169,9 +177,20 @@ def coder(path: str, lexicon: str | None = None) -> Coder:
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON_WORDS) -> list[str]:
-    """The ``limit`` most frequent runs of letters, counted over all texts; ties in word order."""
+    """The most frequent runs of letters over all texts, at most ``limit``.
+
+    All words of a frequency are taken or none, so that only a histogram of frequencies and the
+    words above the cut reach the driver, whatever the size of the corpus.
+    """
     words = docs.select(F.explode(F.split(F.col(text_col).cast("string"), r"[^\p{L}]+")).alias("word")).where("word <> '' and length(word) <= 40")
-    return [r["word"] for r in words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(limit).collect()]
+    counts = staged(words.groupBy("word").count().where("count > 1"), "word-counts")
+    total, cut = 0, None
+    for row in counts.groupBy("count").agg(F.count("*").alias("n")).orderBy(F.desc("count")).limit(limit).collect():
+        total += row["n"]
+        if total > limit:
+            break
+        cut = row["count"]
+    return [] if cut is None else [r["word"] for r in counts.where(F.col("count") >= cut).select("word").collect()]
 
 
 def ship_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", limit: int = LEXICON_WORDS) -> str:
