@@ -22,6 +22,9 @@ SAMPLE = 2500
 CUT = 0.7
 CACHE_CHUNKS = 300_000
 
+#: What shares of a text's tokens are other signs, digits, capitals, or words equal to one of the two tokens before: indicators of their own.
+KINDS, STEPS = 4, 9
+
 _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\s+")
 
 
@@ -29,22 +32,18 @@ class ChunkTokens(dict):
     """32-bit hashes of the tokens of a chunk between white space, as bytes.
 
     Runs of letters are lower-cased, with a mark token before one written in capitals; digits
-    count by their number only; runs of other signs are cut to four.
+    count by their number only; runs of other signs are cut to four. The two lowest bits tell
+    letters (0), other signs (1), digits (2) and marks (3) apart.
     """
 
     def __missing__(self, chunk: bytes) -> bytes:
         out = []
         for token in _TOKEN.findall(chunk.decode("utf-8", "replace")):
-            if token[0].isdigit():
-                token = "0" * min(len(token), 8)
-            elif token[0].isalpha():
-                if len(token) > 1 and token.isupper():
-                    out.append("^")
-                token = token.lower()[:40]
-            else:
-                token = token[:4]
-            out.append(token)
-        value = np.array([xxhash.xxh32_intdigest(t.encode()) for t in out], "<u4").tobytes()
+            kind = 0 if token[0].isalpha() else 2 if token[0].isdigit() else 1
+            if kind == 0 and len(token) > 1 and token.isupper():
+                out.append(("^", 3))
+            out.append((token.lower()[:40] if kind == 0 else "0" * min(len(token), 8) if kind == 2 else token[:4], kind))
+        value = np.array([xxhash.xxh32_intdigest(t.encode()) & ~3 | kind for t, kind in out], "<u4").tobytes()
         if len(chunk) < 64:
             if len(self) >= CACHE_CHUNKS:
                 self.clear()
@@ -53,18 +52,40 @@ class ChunkTokens(dict):
 
 
 def indicators(texts: list[bytes], cache: ChunkTokens, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct hashed unigrams and bigrams of each text, in order of texts, and how many each has."""
+    """Distinct indicators of each text, in order of texts, and how many each has.
+
+    Hashed unigrams and bigrams are numbered below 2**bits; from there on come KINDS shares of
+    the text's tokens in STEPS steps each, one indicator for each kind.
+    """
     parts = [b"".join(map(cache.__getitem__, t.split())) for t in texts]
     n = np.array([len(p) // 4 for p in parts], np.int64)
     token = np.frombuffer(b"".join(parts), "<u4").astype(np.uint64)
     doc = np.repeat(np.arange(len(texts), dtype=np.uint64), n)
-    shift = np.uint64(64 - bits)
+    shift, wide = np.uint64(64 - bits), np.uint64(bits + 1)
     one = mix(token + np.uint64(1)) >> shift
     inside = doc[1:] == doc[:-1]
     two = (mix((token[:-1] << np.uint64(32)) + token[1:]) >> shift)[inside]
-    key = np.concatenate([(doc << np.uint64(bits)) + one, (doc[1:][inside] << np.uint64(bits)) + two])
-    key = np.unique(key)
-    return (key & np.uint64((1 << bits) - 1)).astype(np.int32), np.bincount((key >> np.uint64(bits)).astype(np.int64), minlength=len(texts)).astype(np.int64)
+    key = np.unique(np.concatenate([(doc << wide) + one, (doc[1:][inside] << wide) + two]))
+    kind = token & np.uint64(3)
+    again = np.zeros(len(token), bool)
+    for lag in (1, 2):
+        again[lag:] |= (token[lag:] == token[:-lag]) & (doc[lag:] == doc[:-lag]) & (kind[lag:] == 0)
+    extra = []
+    for k, hit in enumerate((kind == 1, kind == 2, kind == 3, again)):
+        share = np.bincount(doc[hit].astype(np.int64), minlength=len(texts)) / np.maximum(n, 1)
+        step = np.minimum(np.ceil(share * (STEPS - 1)), STEPS - 1).astype(np.uint64)
+        extra.append((np.arange(len(texts), dtype=np.uint64) << wide) + np.uint64((1 << bits) + k * STEPS) + step)
+    key = np.sort(np.concatenate([key, *extra]))
+    return (key & np.uint64((2 << bits) - 1)).astype(np.int32), np.bincount((key >> wide).astype(np.int64), minlength=len(texts)).astype(np.int64)
+
+
+def table_size(bits: int) -> int:
+    return (1 << bits) + KINDS * STEPS
+
+
+def scales(index: np.ndarray, n: np.ndarray, bits: int) -> np.ndarray:
+    """What each indicator of each text counts: n-grams less in longer texts, shares always 1."""
+    return np.where(index < 1 << bits, np.repeat(1 / np.sqrt(np.maximum(n, 1)), n), 1.0)
 
 
 @dataclass
@@ -78,26 +99,26 @@ class NbSvm:
     bits: int = BITS
 
     def scores(self, index: np.ndarray, n: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * margins(self.weights, self.bias, index, n) + self.shift, -30, 30)))
+        return 1 / (1 + np.exp(-np.clip(self.slope * margins(self.weights, self.bias, index, n, self.bits) + self.shift, -30, 30)))
 
 
-def margins(weights: np.ndarray, bias: float, index: np.ndarray, n: np.ndarray) -> np.ndarray:
+def margins(weights: np.ndarray, bias: float, index: np.ndarray, n: np.ndarray, bits: int = BITS) -> np.ndarray:
     total = np.zeros(len(n))
     full = np.flatnonzero(n)
     if len(full):
-        total[full] = np.add.reduceat(weights[index].astype(np.float64), (np.cumsum(n) - n)[full])
-    return total / np.sqrt(np.maximum(n, 1)) + bias
+        total[full] = np.add.reduceat(weights[index] * scales(index, n, bits), (np.cumsum(n) - n)[full])
+    return total + bias
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, epochs: int = 25, seed: int = 3) -> tuple[np.ndarray, float]:
-    """A linear hinge-loss model over rows of indicators, each scaled by ``ratio`` and the row's length.
+def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, bits: int = BITS, epochs: int = 25, seed: int = 3) -> tuple[np.ndarray, float]:
+    """A linear hinge-loss model over rows of indicators, each scaled by ``ratio`` and its share in the row.
 
     One dual variable at a time is moved to its best value in 0..cost; the bias is the weight of
     a constant feature.
     """
     w, bias = np.zeros(len(ratio)), 0.0
     alpha = np.zeros(len(rows))
-    values = [ratio[r] / np.sqrt(max(len(r), 1)) for r in rows]
+    values = [ratio[r] * scales(r, np.array([len(r)]), bits) for r in rows]
     norms = np.array([v @ v + 1 for v in values])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
@@ -131,15 +152,25 @@ def logistic(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return max(float(a), 1e-3), float(b)
 
 
+def log_count_ratios(sums: np.ndarray) -> np.ndarray:
+    """Of smoothed shares of indicators in the good and the bad class; 0 for one that neither has.
+
+    One count in all is added to each indicator, split between the classes as their totals are.
+    """
+    totals = np.maximum(sums.sum(axis=1, keepdims=True), 1)
+    shares = (sums + totals / totals.sum()) / totals
+    return np.log(shares[1]) - np.log(shares[0])
+
+
 def _counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sums = ChunkTokens(), np.zeros((2, 1 << bits), np.int64)
+        cache, sums = ChunkTokens(), np.zeros((2, table_size(bits)), np.int64)
         for batch in batches:
             for labels, texts in slices(batch.column(0), batch.column(1)):
                 index, n = indicators(texts, cache, bits)
                 y = np.repeat(np.array(labels), n)
                 for c in (0, 1):
-                    sums[c] += np.bincount(index[y == c], minlength=1 << bits)
+                    sums[c] += np.bincount(index[y == c], minlength=table_size(bits))
         at = np.flatnonzero(sums.sum(axis=0)).astype(np.int32)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(sums[0][at]), pa.array(sums[1][at])], names=["i", "bad", "good"])
 
@@ -163,24 +194,24 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     Log-count ratios come from all labelled texts. The support vector machine sees at most
     ``sample`` texts of each class, those whose ids hash lowest: three in four fit the weights,
-    the rest the probabilities. The driver gets the counts of 2**bits indicators and the
+    the rest the probabilities. The driver gets the counts of table_size(bits) indicators and the
     sample's rows. Null and other labels, and null ids, are ignored; of several labels for an id
     the lowest counts. With only one class the model gives that class for any text.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("long").alias("y"))
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    known = maybe_in(source, "id", marked, "id").join(marked, "id").select("y", "text")
+    # one plan at every size: both sides are dealt by id, and only texts that may be labelled
+    known = maybe_in(source, "id", marked, "id").join(marked.hint("merge"), "id").select("y", "text")
     counts = known.mapInArrow(_counts(bits), "i int, bad long, good long").groupBy("i").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
-    sums = np.zeros((2, 1 << bits))
+    sums = np.zeros((2, table_size(bits)))
     sums[0][counts["i"]], sums[1][counts["i"]] = counts["bad"], counts["good"]
-    sums += 1
-    ratio = np.log(sums[1] / sums[1].sum()) - np.log(sums[0] / sums[0].sum())
+    ratio = log_count_ratios(sums)
     few = [marked.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     picked = F.broadcast(few[0].union(few[1]))  # at most 2 * sample rows
     taken = source.join(picked, "id").select("y", "text").mapInArrow(_rows(bits), "y long, items array<int>").toPandas()
     y = np.where(taken["y"] == 1, 1.0, -1.0) if len(taken) else np.zeros(0)
     if len(set(y)) < 2:
-        return NbSvm(np.zeros(1 << bits, np.float32), 0.0, 1.0, 0.0 if not len(y) else 5.0 * y[0], bits)
+        return NbSvm(np.zeros(table_size(bits), np.float32), 0.0, 1.0, 0.0 if not len(y) else 5.0 * y[0], bits)
     rows = [np.asarray(r, np.int64) for r in taken["items"]]
     order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i].tobytes()))
     fold = np.zeros(len(rows), int)
@@ -188,11 +219,11 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     fitting = [i for i in order if fold[i]] if len(rows) >= 40 else order
     share = np.array([(y[fitting] == c).mean() for c in (-1, 1)])
     cost = np.where(y[fitting] < 0, 0.5 / share[0], 0.5 / share[1])
-    w, bias = dual_coordinate_descent([rows[i] for i in fitting], y[fitting], ratio, cost)
+    w, bias = dual_coordinate_descent([rows[i] for i in fitting], y[fitting], ratio, cost, bits)
     weights = (w * ratio).astype(np.float32)
     held = [i for i in order if not fold[i]] if len(rows) >= 40 else order
     index, n = np.concatenate([rows[i] for i in held]), np.array([len(rows[i]) for i in held])
-    slope, shift = logistic(margins(weights, bias, index, n), y[held])
+    slope, shift = logistic(margins(weights, bias, index, n, bits), y[held])
     return NbSvm(weights, bias, slope, shift, bits)
 
 
