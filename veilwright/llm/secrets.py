@@ -147,13 +147,13 @@ def redact_secrets(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", te
     ``found`` is what ``secret_findings`` gave for ``docs``. Only rows that may hold a secret
     are joined, so the rest of the texts is not shuffled.
     """
-    spans = found.where("secret").groupBy("h").agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
+    spans = found.where("secret").groupBy(F.col("h").alias("_found")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
     spans = staged(spans, "secret-spans")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = marked(docs.withColumn("_key", F.xxhash64(F.col(id_col), text)), "_key", spans, "h")
+    rows = marked(docs.withColumn("_key", F.xxhash64(F.col(id_col), text)), "_key", spans, "_found")
     cut = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda done, s: F.struct(
         F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at")))
-    hit = rows.where("_maybe").join(spans, F.col("_key") == F.col("h"), "left").withColumn("_cut", cut)
+    hit = rows.where("_maybe").join(spans, F.col("_key") == F.col("_found"), "left").withColumn("_cut", cut)
     new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(F.col("_cut.out"), F.substring(text, (F.col("_cut.at") + 1).cast("int"), F.length(text))))
     hit = hit.withColumn(text_col, new).select(*docs.columns)
     return rows.where("not _maybe").select(*docs.columns).unionByName(hit)
