@@ -13,7 +13,7 @@ os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 def spark(tmp_path_factory):
     from veilwright.session import get_session
 
-    session = get_session("tests", 4, spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('scratch')}", spark__driver__memory="4g")
+    session = get_session("tests", int(os.environ.get("TEST_CPUS", "4")), spark__checkpoint__dir=f"file://{tmp_path_factory.mktemp('scratch')}", spark__driver__memory="4g")
     session.sparkContext.setLogLevel("ERROR")
     yield session
 

@@ -59,6 +59,8 @@ def converted(text: str, spans, contract: ModelContract) -> list[tuple]:
         if score is not None and score < contract.thresholds.get(native, 0.0):
             continue
         if contract.offset_unit == "byte":
+            if not 0 <= start < end <= len(raw):
+                raise PrivacyError("invalid_finding", "out_of_bounds")
             try:
                 start, end = len(raw[:start].decode()), len(raw[:end].decode())
             except UnicodeDecodeError:
