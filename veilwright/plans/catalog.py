@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..config import ScanAndTransformConfig, ScanConfig, Strategy, TransformConfig, parse_scan, parse_scan_and_transform, parse_transform
-from ..functions import columns
+from ..functions import columns, sql
 from ..kernels.tree import StructuredConfig
 from ..operators import algebra, evaluate, models, report, scan, structured, tokens
 from ..registry import DETECTORS
@@ -668,3 +668,19 @@ def progressive_restore(spark, sf_dir):
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
     return done.groupBy("response_id").agg(text.alias("text"))
 
+
+
+@query("sql_functions", f"SELECT c_custkey AS id, 'Mail [EMAIL] or call ' || {_PHONE} || ' soon' AS text, 2 AS n FROM customer")
+def sql_functions(spark, sf_dir):
+    sql.register(spark)
+    contacts(spark, sf_dir).createOrReplaceTempView("veilwright_contacts")
+    config = '{"scan": {"entities": ["EMAIL"]}, "transform": {"default": {"strategy": "redact"}}}'
+    return spark.sql(f"SELECT id, protect_text(text, '{config}').text AS text, CAST(size(scan_text(text)) AS BIGINT) AS n FROM veilwright_contacts")
+
+
+@query("sql_lateral", f"SELECT c_custkey AS id, 'PHONE' AS entity_type, {_PHONE} AS matched_text FROM customer")
+def sql_lateral(spark, sf_dir):
+    sql.register(spark)
+    contacts(spark, sf_dir).createOrReplaceTempView("veilwright_contacts")
+    config = '{"entities": ["PHONE"]}'
+    return spark.sql(f"SELECT id, f.entity_type, f.matched_text FROM veilwright_contacts, LATERAL findings_of(text, '{config}') f")
