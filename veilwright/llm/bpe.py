@@ -5,9 +5,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
-import os
 import re
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -17,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import staged
+from ..session import scratch_root, staged
 from .lexicon import Lexicon, build
 from .words import slices
 
@@ -194,7 +192,7 @@ def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = LEXICON
 
 
 def ship_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", limit: int = LEXICON_WORDS) -> str:
-    """Compiles the frequent words into a file that Spark gives to every executor; its name there.
+    """Compiles the frequent words into a file in the scratch folder, which every executor fetches; its name there.
 
     At most ``limit`` words reach the driver and the file (about 2 MB for 50,000). An executor
     that starts later fetches the file too.
@@ -203,10 +201,15 @@ def ship_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
     words = {form for w in frequent_words(docs, text_col, limit) for form in (w, " " + w)}
     data = build((w.encode(), own.merge(w.encode())) for w in words)
     name = f"lexicon-{hashlib.sha256(data).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}.bin"
-    path = os.path.join(tempfile.mkdtemp(prefix="lexicon-"), name)
-    with open(path, "wb") as f:
-        f.write(data)
-    docs.sparkSession.sparkContext.addFile(path)
+    spark = docs.sparkSession
+    path = f"{scratch_root(spark)}/veilwright/{name}"
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    try:
+        stream.write(bytearray(data))
+    finally:
+        stream.close()
+    spark.sparkContext.addFile(path)
     return name
 
 
