@@ -64,9 +64,9 @@ def drop_exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Only rows that may be in a group of several are shuffled. A group that repeats whole rows
     keeps one of them. Ids are taken to name one text each; rows with a null id all stay.
     """
-    found = staged(exact_duplicates(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("_id"), "kept").distinct(), "exact-found")
+    found = staged(exact_duplicates(docs, id_col, text_col).where("group_size > 1").select(F.col(id_col).alias("_id"), F.col("kept").alias("_kept")).distinct(), "exact-found")
     rows = marked(docs, id_col, found, "_id")
-    rest = rows.where("_maybe").drop("_maybe").join(found, F.col(id_col) == F.col("_id"), "left").where("kept is null or kept")
+    rest = rows.where("_maybe").drop("_maybe").join(found, F.col(id_col) == F.col("_id"), "left").where("_kept is null or _kept")
     single = rest.where(F.col("_id").isNull()).select(*docs.columns)
     groups = rest.where(F.col("_id").isNotNull()).select(*docs.columns).dropDuplicates([id_col])
     return rows.where("not _maybe").select(*docs.columns).unionByName(single).unionByName(groups)
