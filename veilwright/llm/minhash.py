@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .banding import linked_components
 from .filters import maybe_in
-from .words import WordHashes, mix, shingle_sets, slices
+from .words import WordHashes, held, mix, shingle_sets, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -66,7 +66,7 @@ def parity_sketch(value: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _features(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = held("hashes", WordHashes)
         for batch in batches:
             for ids, texts in slices(batch.column(0), batch.column(1)):
                 value, n = shingle_sets(texts, words, cache)
@@ -90,7 +90,7 @@ def _features(words: int, bands: int, rows: int):
 
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = WordHashes()
+        cache = held("hashes", WordHashes)
         for batch in batches:
             for ids, texts in slices(batch.column(0), batch.column(1)):
                 value, n = shingle_sets(texts, words, cache)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .words import slices
+from .words import held, slices
 
 CAPACITY = 4096
 END = 1
@@ -22,11 +22,11 @@ END = 1
 GROUP = 4096
 #: A sequence with more room than this share is taken apart once more, with those of other groups.
 LOOSE = 0.01
-#: Chunks and their parts that a worker remembers, about 150 bytes each.
-CACHE_CHUNKS, CACHE_PARTS = 700_000, 1_200_000
+#: Chunks and their parts that a worker remembers, about 200 bytes each.
+CACHE_CHUNKS, CACHE_PARTS = 200_000, 250_000
 
-_PLAIN = re.compile("([a-zÀ-ÖØ-öø-ɏ]+)([,.!?;:*$%&#|]+)")
-_encoders: dict[str, ChunkIds] = {}
+#: Latin letters whose lower case is one letter too.
+_PLAIN = re.compile("([a-zÀ-ÖØ-öø-\u012f\u0131-ɏ]+)([,.!?;:*$%&#|]+)")
 
 
 class ChunkIds(dict):
@@ -73,9 +73,7 @@ def _pieces(path: str, capacity: int, end: int):
     step, tail = 4 * capacity, np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if path not in _encoders:
-            _encoders[path] = ChunkIds(path)
-        encode = _encoders[path].ids
+        encode = held(("ids", path), lambda: ChunkIds(path)).ids
         for batch in batches:
             for ids, texts in slices(batch.column(0), batch.column(1)):
                 rows = []

@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import maybe_in
-from .words import mix, slices
+from .words import held, mix, slices
 
 #: N-grams are hashed to this many indicators.
 BITS = 18
 #: Labelled rows of each class that the support vector machine is fitted on, at most. Log-count ratios use all.
 SAMPLE = 2500
 CUT = 0.7
-CACHE_CHUNKS = 300_000
+CACHE_CHUNKS = 150_000
 
 #: What shares of a text's tokens are other signs, digits, capitals, or words equal to one of the two tokens before: indicators of their own.
 KINDS, STEPS = 4, 9
@@ -164,7 +164,7 @@ def log_count_ratios(sums: np.ndarray) -> np.ndarray:
 
 def _counts(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, sums = ChunkTokens(), np.zeros((2, table_size(bits)), np.int64)
+        cache, sums = held("tokens", ChunkTokens), np.zeros((2, table_size(bits)), np.int64)
         for batch in batches:
             for labels, texts in slices(batch.column(0), batch.column(1)):
                 index, n = indicators(texts, cache, bits)
@@ -179,7 +179,7 @@ def _counts(bits: int):
 
 def _rows(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkTokens()
+        cache = held("tokens", ChunkTokens)
         for batch in batches:
             for labels, texts in slices(batch.column(0), batch.column(1)):
                 index, n = indicators(texts, cache, bits)
@@ -229,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 def _scored(model: NbSvm):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkTokens()
+        cache = held("tokens", ChunkTokens)
         for batch in batches:
             for ids, texts in slices(batch.column(0), batch.column(1)):
                 index, n = indicators(texts, cache, model.bits)
@@ -252,7 +252,7 @@ def quality_scores(docs: DataFrame, model: NbSvm, id_col: str = "doc_id", text_c
 
 def _passing(model: NbSvm, column: int, cut: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = ChunkTokens()
+        cache = held("tokens", ChunkTokens)
         for batch in batches:
             at = pa.array(range(batch.num_rows), pa.int64())
             keep = [model.scores(*indicators(texts, cache, model.bits)) >= cut for _, texts in slices(at, batch.column(column))]

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +13,7 @@ import xxhash
 
 #: Texts are worked on in slices of about this many bytes, so that arrays stay small whatever the batch holds.
 SLICE_BYTES = 2 << 20
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 class WordHashes(dict):
@@ -23,6 +26,26 @@ class WordHashes(dict):
         return value
 
 
+_held: dict = {}
+
+
+def held(kind, make):
+    """What ``make`` gave in this worker process for ``kind``, kept from task to task; one kind at a time.
+
+    A function that is sent to workers has to call this rather than name a module's variable, of
+    which each task would get its own copy.
+    """
+    if kind not in _held:
+        if _held:
+            _held.clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)  # else what the last kind held stays with the process
+        _held[kind] = make()
+    return _held[kind]
+
+
 def slices(ids: pa.Array, texts: pa.Array) -> Iterator[tuple[list, list[bytes]]]:
     """Ids and texts as bytes (null: empty), about SLICE_BYTES at a time."""
     ids, texts = ids.to_pylist(), texts.cast(pa.large_binary()).to_pylist()
