@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from ..session import scratch_root, staged
 from .lexicon import Lexicon, build
-from .words import slices
+from .words import bounded_batches, slices
 
 #: Words compiled into the lexicon, each with and without a space before it.
 LEXICON_WORDS = 50_000
@@ -244,7 +244,7 @@ def encode_decode(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_
     heap, in n log n steps. Null and repeated ids are returned as they are; other columns are
     ignored. The tokenizer's path must exist on every executor.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     name = ship_lexicon(source, tokenizer, "text", limit)
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>, decoded string"
     out = source.mapInArrow(_coded(tokenizer, name, keep), schema).withColumnRenamed("id", id_col)

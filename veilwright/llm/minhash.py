@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .banding import linked_components
 from .filters import maybe_in
-from .words import WordHashes, held, mix, shingle_sets, slices
+from .words import WordHashes, bounded_batches, held, mix, shingle_sets, slices
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -133,7 +133,7 @@ def near_duplicates(
     are ignored.
     """
     percent = round(100 * threshold)
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = "id long, n long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
     features = staged(source.mapInArrow(_features(words, bands, rows), schema), "features")
     key = ["n", "k1", "k2"]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
-from .words import held, slices
+from .words import bounded_batches, held, slices
 
 CAPACITY = 4096
 END = 1
@@ -23,7 +23,7 @@ GROUP = 4096
 #: A sequence with more room than this share is taken apart once more, with those of other groups.
 LOOSE = 0.01
 #: Chunks and their parts that a worker remembers, about 200 bytes each.
-CACHE_CHUNKS, CACHE_PARTS = 200_000, 250_000
+CACHE_CHUNKS, CACHE_PARTS = 300_000, 600_000
 
 #: Latin letters whose lower case is one letter too.
 _PLAIN = re.compile("([a-zÀ-ÖØ-öø-\u012f\u0131-ɏ]+)([,.!?;:*$%&#|]+)")
@@ -179,7 +179,7 @@ def pack_documents(
     null id is kept as such. An empty table gives no rows. Other columns are ignored. The path
     must exist on every executor.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     pieces = staged(source.mapInArrow(_pieces(tokenizer, capacity, end), _PIECE), "pieces")
     packed = staged(_grouped(pieces, group, True, capacity), "packed")
     loose = packed.where("loose").select("id", "piece", "start", "length", "ids_crc32")

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import maybe_in
-from .words import held, mix, slices
+from .words import bounded_batches, held, mix, slices
 
 #: N-grams are hashed to this many indicators.
 BITS = 18
@@ -199,7 +199,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     the lowest counts. With only one class the model gives that class for any text.
     """
     marked = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(label_col).cast("long").alias("y"))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # one plan at every size: both sides are dealt by id, and only texts that may be labelled
     known = maybe_in(source, "id", marked, "id").join(marked.hint("merge"), "id").select("y", "text")
     counts = known.mapInArrow(_counts(bits), "i int, bad long, good long").groupBy("i").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
@@ -245,7 +245,7 @@ def quality_scores(docs: DataFrame, model: NbSvm, id_col: str = "doc_id", text_c
     text without n-grams. Null and repeated ids are returned as they are; other columns are
     ignored.
     """
-    source = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     out = source.mapInArrow(_scored(model), "id long, score double")
     return out.select(F.col("id").alias(id_col), "score", (F.col("score") >= cut).cast("int").alias("predicted"))
 
@@ -264,4 +264,4 @@ def _passing(model: NbSvm, column: int, cut: float):
 
 def drop_rejected(docs: DataFrame, model: NbSvm, text_col: str = "text", cut: float = CUT) -> DataFrame:
     """The rows of ``docs`` whose text scores ``cut`` or more, with all columns; texts are not shuffled."""
-    return docs.mapInArrow(_passing(model, docs.columns.index(text_col), cut), docs.schema)
+    return bounded_batches(docs).mapInArrow(_passing(model, docs.columns.index(text_col), cut), docs.schema)

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark.sql import DataFrame
 
 #: Texts are worked on in slices of about this many bytes, so that arrays stay small whatever the batch holds.
 SLICE_BYTES = 2 << 20
@@ -26,6 +27,18 @@ class WordHashes(dict):
         return value
 
 
+#: Rows of an Arrow batch at most. Texts may be long, and a batch is held whole on both sides.
+BATCH_ROWS = 1000
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after the session's Arrow batches were cut to BATCH_ROWS if they were larger."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(df.sparkSession.conf.get(key)) <= BATCH_ROWS:
+        df.sparkSession.conf.set(key, str(BATCH_ROWS))
+    return df
+
+
 _held: dict = {}
 
 
