@@ -204,3 +204,17 @@ def test_secret_edge_rows(spark):
     out = secrets.redact_secrets(df, secrets.secret_findings(df)).collect()
     assert len(out) == len(rows) and {r["text"] for r in out if r["doc_id"] == 1} == {'a token = "[SECRET]" b token = "[SECRET]"', 'password: "[SECRET]"'}
     assert secrets.secret_findings(df.limit(0)).count() == 0
+
+
+def test_neighbours_of_candidates_hold_other_candidates(spark):
+    runs = [hashlib.sha256(str(k).encode()).hexdigest()[: 16 + k] for k in range(9)]
+    texts = [f"é AWS_SECRET_ACCESS_KEY={runs[8]}{runs[7]}", f'aws_secret_access_key = "{runs[8]}"', f"sha256-checksum-digest {runs[6]}", ";".join(runs), " ".join(f"{r}==" for r in runs) + "="]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows = secrets.candidates(df).collect()
+    assert len(rows) == 2 * 3 + 2 * len(runs)
+    for r in rows:
+        text = texts[r["id"]]
+        assert r["candidate"] == text[r["start"] : r["end"]]
+        assert r["before"] == text[max(r["start"] - secrets.AROUND, 0) : r["start"]] and r["after"] == text[r["end"] : r["end"] + secrets.AROUND]
+    seen = {r["id"]: r for r in secrets.with_features(secrets.candidates(df), []).where("id < 3").orderBy("start").collect()}  # the last of each
+    assert seen[0]["f_keyword"] == seen[0]["f_assigned"] == seen[1]["f_keyword"] == seen[1]["f_assigned"] == seen[2]["f_harmless"] == 1

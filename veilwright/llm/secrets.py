@@ -34,7 +34,8 @@ FEATURES = [
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     """(id, h, start, end, candidate, before, after, path) for each candidate of each text.
 
-    Offsets are code points. ``h`` is a hash of id and text, so that rows that repeat an id with
+    Offsets are code points. ``before`` and ``after`` are the AROUND code points on either side,
+    with any other candidates that they hold. ``h`` is a hash of id and text, so that rows that repeat an id with
     another text are told apart.
     """
     text = F.col("text")
@@ -43,12 +44,15 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows = rows.select("id", F.xxhash64("id", "text").alias("h"), "path", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("found"), F.split("text", CANDIDATE, -1).alias("between"))
     rows = rows.withColumn("sizes", F.transform("found", lambda c, i: F.length(c) + F.length(F.get("between", i))))
     rows = rows.withColumn("ends", F.aggregate("sizes", F.array().cast("array<long>"), lambda done, n: F.concat(done, F.array((F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + n).cast("long")))))
-    rows = rows.select("id", "h", "path", "between", "ends", F.posexplode("found").alias("i", "candidate"))
-    end = F.get("ends", F.col("i"))
+    rows = rows.select("id", "h", "path", "found", "between", "ends", F.posexplode("found").alias("i", "candidate"))
+    end, i = F.get("ends", F.col("i")), F.col("i")
+    reach = -(-AROUND // LEAST)  # so many candidates are at least AROUND long
+    piece = lambda name, at, start: F.coalesce(F.substring(F.get(name, at), start, AROUND), F.lit(""))
+    before = F.concat(*[piece(name, i - k, -AROUND) for k in range(reach, 0, -1) for name in ("between", "found")], piece("between", i, -AROUND))
+    after = F.concat(piece("between", i + 1, 1), *[piece(name, i + k + int(name == "between"), 1) for k in range(1, reach + 1) for name in ("found", "between")])
     return rows.select(
         "id", "h", (end - F.length("candidate")).alias("start"), end.alias("end"), "candidate",
-        F.substring(F.get("between", F.col("i")), -AROUND, AROUND).alias("before"),
-        F.substring(F.get("between", F.col("i") + 1), 1, AROUND).alias("after"),
+        F.substring(before, -AROUND, AROUND).alias("before"), F.substring(after, 1, AROUND).alias("after"),
         "path",
     )
 
