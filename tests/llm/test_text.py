@@ -218,3 +218,16 @@ def test_neighbours_of_candidates_hold_other_candidates(spark):
         assert r["before"] == text[max(r["start"] - secrets.AROUND, 0) : r["start"]] and r["after"] == text[r["end"] : r["end"] + secrets.AROUND]
     seen = {r["id"]: r for r in secrets.with_features(secrets.candidates(df), []).where("id < 3").orderBy("start").collect()}  # the last of each
     assert seen[0]["f_keyword"] == seen[0]["f_assigned"] == seen[1]["f_keyword"] == seen[1]["f_assigned"] == seen[2]["f_harmless"] == 1
+
+
+def test_introduced_values_of_any_length_are_candidates(spark):
+    values = {'password = "hunter2secret"': "hunter2secret", "see postgres://app:s3cr3tpw@db/main": "s3cr3tpw", "Authorization: Bearer aB3xY9kQ2z": "aB3xY9kQ2z", "api_key='p4$$ w0rd!x'": "p4$$ w0rd!x", "client_secret: q7#Lm!92z, next": "q7#Lm!92z"}
+    plain = ["the password is required", "the bearer of news", "token = None", "a: b = c", "password: required"]
+    df = spark.createDataFrame(list(enumerate([*values, *plain])), "doc_id long, text string")
+    found = secrets.secret_findings(df)
+    rows = found.collect()
+    texts = [*values, *plain]
+    assert all(texts[r["doc_id"]][r["start"] : r["end"]] == r["candidate"] for r in rows)
+    assert {(r["doc_id"], r["candidate"]) for r in rows if r["secret"]} == set(enumerate(values.values()))
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df, found).collect()}
+    assert clean == {i: t.replace(values[t], secrets.MARK) if t in values else t for i, t in enumerate(texts)}

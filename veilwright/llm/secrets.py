@@ -11,9 +11,19 @@ from pyspark.sql import functions as F
 from ..session import staged
 from .filters import marked
 
-#: A candidate: at least so many characters of one run of key material.
+#: A run of key material of so many characters is a candidate wherever it stands.
 LEAST = 16
-CANDIDATE = r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{%d,}={0,2}" % LEAST
+_KEY = r"(?i:passw(?:or)?d|passwd|passphrase|pwd|secret|token|api[_.\-]?key|(?:access|private|client|auth)[_.\-]?key|credentials?|auth|bearer)[A-Za-z0-9_.\-]{0,24}['\"]?\s{0,2}(?:=>|:=|=|:)\s{0,2}"
+_NO_URI = r"(?![A-Za-z][A-Za-z0-9+.\-]{0,20}://)"
+RUN = r"(?<![A-Za-z0-9_+/\-])[A-Za-z0-9_+/\-]{%d,}={0,2}" % LEAST
+#: Values of any length that a Bearer header, a URI's user or a key's assignment introduces, then runs.
+#: Short looks back come before each long one, for speed.
+CANDIDATE = r"(?<=[=:>\"'\s])(?<=[=:>rR]\s{0,4}[\"']?)(?:%s)|%s" % ("|".join([
+    r"(?<=(?i:bearer)\s{1,2})[A-Za-z0-9._~+/\-]*[A-Za-z0-9_~+/\-]={0,2}",
+    r"(?<=:)(?<=://[^\s/:@]{0,255}:)[^\s@/]+(?=@)",
+    *[rf"(?<={q})(?<={_KEY}{q}){_NO_URI}(?!(?i:bearer)\s)[^{q}\r\n]+(?={q})" for q in "\"'"],
+    rf"(?<={_KEY}){_NO_URI}(?!(?i:bearer)\s)[^\s\"'`<>,;()\[\]{{}}]*[^\s\"'`<>,;()\[\]{{}}.:!?]",
+]), RUN)
 #: Code points of text kept on either side of a candidate.
 AROUND = 48
 DICTIONARY = 400
@@ -40,13 +50,16 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     text = F.col("text")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), path.alias("path")).where(text.rlike(CANDIDATE))
-    rows = rows.select("id", F.xxhash64("id", "text").alias("h"), "path", F.regexp_extract_all("text", F.lit(CANDIDATE), 0).alias("found"), F.split("text", CANDIDATE, -1).alias("between"))
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), path.alias("path"))
+    introduced = text.contains("=") | text.contains(":") | F.lower(text).contains("bearer")  # else only runs are there
+    rows = rows.where(F.when(introduced, text.rlike(CANDIDATE)).otherwise(text.rlike(RUN)))
+    by = lambda of: F.when(introduced, of(CANDIDATE)).otherwise(of(RUN))
+    rows = rows.select("id", F.xxhash64("id", "text").alias("h"), "path", by(lambda p: F.regexp_extract_all("text", F.lit(p), 0)).alias("found"), by(lambda p: F.split("text", p, -1)).alias("between"))
     rows = rows.withColumn("sizes", F.transform("found", lambda c, i: F.length(c) + F.length(F.get("between", i))))
     rows = rows.withColumn("ends", F.aggregate("sizes", F.array().cast("array<long>"), lambda done, n: F.concat(done, F.array((F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + n).cast("long")))))
     rows = rows.select("id", "h", "path", "found", "between", "ends", F.posexplode("found").alias("i", "candidate"))
     end, i = F.get("ends", F.col("i")), F.col("i")
-    reach = -(-AROUND // LEAST)  # so many candidates are at least AROUND long
+    reach = AROUND // 3  # so many candidates, with what introduces the short ones, are at least AROUND long
     piece = lambda name, at, start: F.coalesce(F.substring(F.get(name, at), start, AROUND), F.lit(""))
     before = F.concat(*[piece(name, i - k, -AROUND) for k in range(reach, 0, -1) for name in ("between", "found")], piece("between", i, -AROUND))
     after = F.concat(piece("between", i + 1, 1), *[piece(name, i + k + int(name == "between"), 1) for k in range(1, reach + 1) for name in ("found", "between")])
@@ -83,10 +96,10 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
     return found.withColumns({k: v.cast("double") for k, v in columns.items()})
 
 
-def labelled_findings(spark: SparkSession, dictionary: list[str], rows: int = 2400) -> DataFrame:
+def labelled_findings(spark: SparkSession, dictionary: list[str], rows: int = 4000) -> DataFrame:
     """A made set of labelled findings (candidate, before, after, path, label) for training.
 
-    Twelve kinds in turn, half of them secrets, drawn by hashing the row number, so it is the
+    Twenty kinds in turn, half of them secrets, drawn by hashing the row number, so it is the
     same at every call. Callers with reviewed findings of their own pass those instead.
     """
     words = F.array(*[F.lit(w) for w in (dictionary or ["the"])])
@@ -96,6 +109,7 @@ def labelled_findings(spark: SparkSession, dictionary: list[str], rows: int = 24
     base = lambda k, n: F.substring(F.regexp_replace(F.base64(F.unhex(hexa(k, 128))), "[+/=]", "x"), 1, n)
     word = lambda k: F.get(words, draw(k, max(len(dictionary), 1)))
     run = lambda sep, n: F.concat_ws(sep, *[word(f"w{j}") for j in range(n)])
+    cased = lambda c: F.when(draw("cap", 2) == 1, F.initcap(c)).otherwise(c)
     keys = F.array(*map(F.lit, ["token", "secret", "password", "api_key", "auth_token", "client_secret", "access_key"]))
     key = F.get(keys, draw("key", 7))
     sep = F.get(F.array(*map(F.lit, [' = "', "=", ': "', " ", " = '", ": "])), draw("sep", 6))
@@ -104,19 +118,26 @@ def labelled_findings(spark: SparkSession, dictionary: list[str], rows: int = 24
     assigned, plain = F.concat(lead, key, sep), F.concat(lead, F.get(F.array(F.lit(""), F.lit("("), F.lit("> ")), draw("pre", 3)))
     hashed = F.concat(lead, F.get(F.array(*map(F.lit, ["commit ", "sha256:", "md5=", "checksum: ", "digest ", "revision "])), draw("hash", 6)))
     live = F.get(F.array(*map(F.lit, ["AKIA", "sk_live_", "ghp_", "AIza"])), draw("live", 4))
+    odd = F.get(F.array(*map(F.lit, ["!", "#", "@", "$", "."])), draw("odd", 5))
+    stands = F.get(F.array(*map(F.lit, ["None", "null", "true", "false", "required", "string", "********", "xxxxxx", "changeme", "${TOKEN}", "$SECRET", "self.token", "your-password"])), draw("stands", 13))
+    uri, bearer = F.concat(lead, F.get(F.array(*map(F.lit, ["postgres://app:", "mysql://root:", "https://user:", "redis://:"])), draw("uri", 4))), F.concat(lead, F.get(F.array(F.lit("Authorization: Bearer "), F.lit("bearer ")), draw("head", 2)))
     length = lambda *ns: F.get(F.array(*map(F.lit, ns)), draw("n", len(ns)))
     cases = [
-        (1, hexa("h", 40), assigned), (0, run("", 6), plain), (1, F.substring(base("k", 86), F.lit(1), length(20, 24, 32, 40, 64)), assigned),
+        (1, hexa("h", 40), assigned), (0, cased(run("", 6)), plain), (1, F.substring(base("k", 86), F.lit(1), length(20, 24, 32, 40, 64)), assigned),
         (0, hexa("g", 40), hashed), (1, F.substring(hexa("j", 128), F.lit(1), length(32, 40, 48, 64)), assigned), (0, run("_", 5), assigned),
         (1, F.concat(live, base("l", 36)), plain), (0, F.concat_ws("-", hexa("u", 8), hexa("v", 4), hexa("x", 4), hexa("y", 4), hexa("z", 12)), plain),
         (1, hexa("m", 40), assigned), (0, F.concat(F.lit("your_"), key, F.lit("_goes_here")), assigned), (1, F.concat(live, base("q", 24)), assigned),
         (0, F.concat_ws("/", run("/", 5), hexa("p", 2)), plain),
+        (1, F.concat(word("d"), draw("e", 9000).cast("string"), word("f")), assigned), (0, cased(word("i")), assigned),
+        (1, F.concat(F.substring(base("r", 12), F.lit(1), length(5, 6, 8, 10, 12)), odd, F.substring(hexa("s", 4), 1, 4)), assigned), (0, stands, assigned),
+        (1, F.concat(F.substring(hexa("t", 20), F.lit(1), length(6, 8, 10)), word("o")), uri), (0, F.get(F.array(*map(F.lit, ["password", "pass", "PASSWORD", "pw"])), draw("y", 4)), uri),
+        (1, F.substring(base("A", 15), F.lit(1), length(8, 10, 12, 15)), bearer), (0, cased(word("B")), bearer),
     ]
     kind = (i % len(cases)).cast("int")
     pick = lambda at: F.get(F.array(*[c[at] if isinstance(c[at], Column) else F.lit(c[at]) for c in cases]), kind)
     path = F.get(F.array(*map(F.lit, ["", "src", "app/settings.py", "tests/data.json"])), draw("path", 4))
-    made = spark.range(0, rows, 1, 1).select(pick(1).alias("candidate"), pick(2).alias("before"), F.concat(quote, tail).alias("after"), path.alias("path"), pick(0).cast("double").alias("label"))
-    return made.withColumns({"before": F.substring("before", -AROUND, AROUND), "after": F.substring("after", 1, AROUND)}).where(F.length("candidate") >= LEAST)
+    made = spark.range(0, rows, 1, 1).select(pick(1).alias("candidate"), pick(2).alias("before"), F.when(kind.isin(16, 17), F.concat(F.lit("@db/main"), tail)).otherwise(F.concat(quote, tail)).alias("after"), path.alias("path"), pick(0).cast("double").alias("label"))
+    return made.withColumns({"before": F.substring("before", -AROUND, AROUND), "after": F.substring("after", 1, AROUND)})
 
 
 def train(findings: DataFrame, dictionary: list[str], trees: int = 40, depth: int = 6, seed: int = 5) -> RandomForestClassificationModel:
@@ -129,8 +150,9 @@ def train(findings: DataFrame, dictionary: list[str], trees: int = 40, depth: in
 def secret_findings(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = CUT) -> DataFrame:
     """(id, h, start, end, candidate, score, secret) for each candidate of each text.
 
-    Every run of at least LEAST characters of key material is a candidate; the forest's vote is
-    its score, and ``secret`` says whether it reaches ``cut``. ``findings`` are labelled rows
+    Every run of at least LEAST characters of key material is a candidate, and so is a value of
+    any length that an assignment to a key name, a URI's user or ``Bearer`` introduces; the
+    forest's vote is its score, and ``secret`` says whether it reaches ``cut``. ``findings`` are labelled rows
     (candidate, before, after, path, label); without any, ``labelled_findings`` are used. The
     dictionary is the corpus' own most frequent words.
 
