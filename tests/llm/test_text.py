@@ -231,3 +231,10 @@ def test_introduced_values_of_any_length_are_candidates(spark):
     assert {(r["doc_id"], r["candidate"]) for r in rows if r["secret"]} == set(enumerate(values.values()))
     clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df, found).collect()}
     assert clean == {i: t.replace(values[t], secrets.MARK) if t in values else t for i, t in enumerate(texts)}
+
+
+def test_long_runs_of_letters_are_seen_whole():
+    tokens = quality.ChunkTokens()
+    assert tokens["語".encode() * 40 + "前".encode() * 30] != tokens["語".encode() * 40 + "後".encode() * 30]
+    assert len(tokens["語".encode() * 70]) == 2 * len(tokens["語".encode() * 40]) == 8
+    assert tokens[b"a" * 40 + b"b"] == tokens[b"a" * 40] + tokens[b"b"]

@@ -21,6 +21,7 @@ BITS = 18
 SAMPLE = 2500
 CUT = 0.7
 CACHE_CHUNKS = 150_000
+LETTERS = 40
 
 #: What shares of a text's tokens are other signs, digits, capitals, or words equal to one of the two tokens before: indicators of their own.
 KINDS, STEPS = 4, 9
@@ -31,7 +32,8 @@ _TOKEN = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+|\s+")
 class ChunkTokens(dict):
     """32-bit hashes of the tokens of a chunk between white space, as bytes.
 
-    Runs of letters are lower-cased, with a mark token before one written in capitals; digits
+    Runs of letters are lower-cased, with a mark token before one written in capitals, and taken
+    in successive pieces of LETTERS, as scripts without spaces have whole texts in one run; digits
     count by their number only; runs of other signs are cut to four. The two lowest bits tell
     letters (0), other signs (1), digits (2) and marks (3) apart.
     """
@@ -42,7 +44,11 @@ class ChunkTokens(dict):
             kind = 0 if token[0].isalpha() else 2 if token[0].isdigit() else 1
             if kind == 0 and len(token) > 1 and token.isupper():
                 out.append(("^", 3))
-            out.append((token.lower()[:40] if kind == 0 else "0" * min(len(token), 8) if kind == 2 else token[:4], kind))
+            if kind == 0:
+                low = token.lower()
+                out += [(low[k : k + LETTERS], 0) for k in range(0, len(low), LETTERS)]
+                continue
+            out.append(("0" * min(len(token), 8) if kind == 2 else token[:4], kind))
         value = np.array([xxhash.xxh32_intdigest(t.encode()) & ~3 | kind for t, kind in out], "<u4").tobytes()
         if len(chunk) < 64:
             if len(self) >= CACHE_CHUNKS:
