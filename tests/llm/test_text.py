@@ -238,3 +238,15 @@ def test_long_runs_of_letters_are_seen_whole():
     assert tokens["語".encode() * 40 + "前".encode() * 30] != tokens["語".encode() * 40 + "後".encode() * 30]
     assert len(tokens["語".encode() * 70]) == 2 * len(tokens["語".encode() * 40]) == 8
     assert tokens[b"a" * 40 + b"b"] == tokens[b"a" * 40] + tokens[b"b"]
+
+
+def test_owners_of_hosts(spark):
+    expected = {
+        "a.co.uk": ("co.uk", "a.co.uk"), "x.b.co.uk": ("co.uk", "b.co.uk"), "co.uk": ("co.uk", "co.uk"), "10.0.0.1": ("[ip]", "10.0.0.1"), "9.9.0.1:80": ("[ip]", "9.9.0.1"), "[::1]:8080": ("[ip]", "[::1]"),
+        "u:p@www.example.com:8080": ("com", "example.com"), "www.example.com": ("com", "example.com"), "localhost": ("localhost", "localhost"), "": ("", ""), "nco.uk": ("uk", "nco.uk"), "example.co": ("co", "example.co"),
+    }
+    df = spark.createDataFrame([(h,) for h in expected], "host string")
+    assert {r["host"]: (r["suffix"], r["domain"]) for r in df.withColumns(dict(zip(("suffix", "domain"), urls.owner_of(df["host"])))).collect()} == expected
+    pages = spark.createDataFrame([(i, "bad.co.uk") for i in range(40)] + [(i, "good.co.uk") for i in range(40, 80)] + [(80, "www.good.co.uk")], "id long, host string")
+    rates = {r["host"]: r["rate"] for r in urls.reputation(pages, spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "id long, bad int")).collect()}
+    assert rates["www.good.co.uk"] < 0.3

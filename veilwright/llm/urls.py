@@ -13,6 +13,13 @@ from ..session import staged
 MAX_RULES = 1000
 #: A host is blocked if the rate of bad pages is above CUT with about 95 % posterior probability.
 CUT, Z = 0.5, 1.645
+#: Suffixes of two labels are these names below these countries; the whole public list is not at hand.
+SECOND = "ac co com edu gob gov go ne net nom or org"
+COUNTRIES = "ar au bd br cn co cy eg es gr hk id il in jp ke kr mx my ng nz pe ph pk pl pt sa sg th tr tw ua ug uk uy ve vn za"
+_TWO = rf"(^|\.)({SECOND.replace(' ', '|')})\.({COUNTRIES.replace(' ', '|')})$"
+_ADDRESS = r"^(\d{1,3}(\.\d{1,3}){3}|\[.*\])$"
+#: The suffix that all numeric addresses share.
+ADDRESSES = "[ip]"
 #: Weight of the overall rate in a suffix's rate, in pages.
 ROOT = 2.0
 
@@ -26,6 +33,15 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def owner_of(host: Column) -> tuple[Column, Column]:
+    """(suffix, registered domain) of a host, without user and port; an address is its own domain."""
+    name = F.regexp_replace(F.regexp_replace(host, "^.*@", ""), r":\d*$", "")
+    two = name.rlike(_TWO)
+    suffix = F.when(name.rlike(_ADDRESS), F.lit(ADDRESSES)).otherwise(F.when(two, F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1)))
+    domain = F.when(name.rlike(_ADDRESS), name).otherwise(F.when(two, F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2)))
+    return suffix, domain
+
+
 def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> tuple[Column, Column]:
     """The longest rule that fits, like ``net/es/``, and its verdict; nulls if none does.
 
@@ -46,15 +62,16 @@ def reputation(pages: DataFrame, outcomes: DataFrame, key: str = "id", cut: floa
     """(host, n, bad, rate, spread, blocked) for each host of ``pages``.
 
     ``outcomes`` has (key, bad): a page's label, 1 if it was found bad. Rates are shrunk down a
-    tree: a suffix (last part of the host) towards the overall rate, a registered domain (last
-    two parts) towards its suffix, a host towards its domain. Each step is a beta-binomial
+    tree: a suffix (last part of the host, or last two as in SECOND and COUNTRIES) towards the
+    overall rate, a registered domain (one part more) towards its suffix, a host towards its domain. Each step is a beta-binomial
     posterior whose prior mean is the parent's rate; its strength is 1 / rho - 1, with rho the
     correlation within groups of that level by the method of moments. A host is blocked if the
     lower bound of its posterior, mean - z * deviation, is above ``cut``. Hosts without labels
     have their domain's rate.
     """
     hosts = pages.join(outcomes, key, "left").groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("k"))
-    hosts = hosts.withColumn("suffix", F.substring_index("host", ".", -1)).withColumn("domain", F.substring_index("host", ".", -2))
+    suffix, domain = owner_of(F.col("host"))
+    hosts = hosts.withColumn("suffix", suffix).withColumn("domain", domain)
     hosts = staged(hosts, "hosts")
     tops = hosts.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     base = ((tops["k"] or 0) + 1.0) / ((tops["n"] or 0) + 2.0)
