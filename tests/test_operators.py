@@ -167,3 +167,18 @@ def test_sources_round_trip(spark, tmp_path):
     assert {r["text"] for r in io.read_documents(spark, f"{tmp_path}/csv", "csv", "id", "text").collect()} == {'a "quoted"\nline', "ü"}
     io.write_findings(scan.findings(frame(spark, [(1, "a@b.co 10.0.0.1")]), "id", config=ScanConfig()), f"{tmp_path}/f")
     assert spark.read.parquet(f"{tmp_path}/f").where("entity_type = 'EMAIL'").count() == 1
+
+
+def test_any_number_of_retired_codes_is_told_from_unknown_ones(spark, sf_dir, tmp_path):
+    from veilwright.streaming import restore as streaming
+    from veilwright.plans.catalog import aliased
+
+    one, two = aliased(spark, sf_dir)[0].select("entity_type", "code").limit(2).collect()
+    retired = spark.createDataFrame([(f"X{i}", "ORG") for i in range(ws.MAX_ENTRIES)] + [(one["code"], one["entity_type"])], ws.RETIRED_SCHEMA).coalesce(1)
+    texts = {k: f"to [[{x['entity_type']}_{x['code']}]]." for k, x in (("gone", one), ("never", two))} | {"plain": "to you."}
+    spark.createDataFrame([(k, 0, t.encode(), True) for k, t in texts.items()], streaming.CHUNK_SCHEMA).write.parquet(f"{tmp_path}/in")
+    out = streaming.progressive(io.stream_documents(spark, f"{tmp_path}/in", streaming.CHUNK_SCHEMA), spark.createDataFrame([], ws.ALIAS_SCHEMA), retired)
+    io.write_stream(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    rows = spark.read.schema(streaming.OUTPUT).parquet(f"{tmp_path}/out").collect()
+    assert out.columns == [c.split()[0] for c in streaming.OUTPUT.split(", ")]
+    assert {r["response_id"]: (r["failure"], r["text"]) for r in rows} == {"gone": ("expired", None), "never": ("unknown", None), "plain": (None, "to you.")}
