@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
+_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+
 
 def get_session(app: str = "veilwright", cpus: int | None = None, **conf: str) -> SparkSession:
     """A session with the settings this library is tested under; a running one is reused.
@@ -19,6 +24,9 @@ def get_session(app: str = "veilwright", cpus: int | None = None, **conf: str) -
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.ui.retainedJobs", "50")
+        .config("spark.ui.retainedStages", "100")
+        .config("spark.sql.ui.retainedExecutions", "20")
         .config("spark.sql.shuffle.partitions", str(cpus or 8))
         .config("spark.driver.memory", "8g")
     )
@@ -43,13 +51,34 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end what ``staged`` wrote within it, but for tables staged as ``lasting``.
+
+    Results are lazy and read staged tables: write them before the scope ends.
+    """
+    path = f"{scratch_root(spark)}/veilwright/scope-{uuid.uuid4().hex}"
+    token = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(token)
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def staged(df: DataFrame, label: str, lasting: bool = False, release: bool = False) -> DataFrame:
     """``df`` written to the scratch folder and read back.
 
     Cuts the lineage, survives the loss of executors, gives the planner true sizes and lets
-    AQE split skewed joins on it. Files stay until the folder is cleaned.
+    AQE split skewed joins on it. Files stay until the scope or the folder is cleaned.
+    ``release`` also asks the driver's JVM to collect garbage: the shuffle files of the written
+    plan, which nothing reads any more, go at once rather than at the next collection.
     """
     spark = df.sparkSession
-    path = f"{scratch_root(spark)}/veilwright/{label}-{uuid.uuid4().hex}"
+    folder = (not lasting and _folder.get()) or f"{scratch_root(spark)}/veilwright"
+    path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
