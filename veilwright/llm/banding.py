@@ -8,43 +8,42 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
+from .filters import maybe_in
 from .graph import connected_components
 
 
-def linked_components(entries: DataFrame, prepare: Callable[[DataFrame], Callable[[DataFrame], DataFrame]], percent: int, tag: str, sketches: DataFrame | None = None) -> DataFrame:
+def linked_components(entries: DataFrame, facts: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, tag: str) -> DataFrame:
     """(node, component) for each node that a confirmed link names; the component is its smallest node.
 
-    ``entries`` has (h, rep, n): node ``rep`` of size ``n`` is in bucket ``h``. ``prepare`` gets
-    the nodes (rep) of all buckets with several nodes and gives the function that confirms
-    pairs (a, b). Each bucket's smallest node is first compared with the others. Buckets whose
-    nodes are then in one component are done; in the others, all pairs across components whose
-    sizes allow ``percent`` of overlap are compared too. So every pair that shares a bucket is
-    compared unless its nodes are already joined, and a bucket of like nodes costs one
-    comparison each. ``sketches`` (rep and 64-bit parity words) leave out those of the second
-    kind whose sketches already differ in more members than ``percent`` of overlap allows.
+    ``entries`` has (h, rep): node ``rep`` is in bucket ``h``. ``facts`` has for each node a lower
+    and an upper bound ``lo`` and ``hi`` of its set's size, and 64-bit words of a sketch: two
+    sketches differ in no more bits than the sets do in members. ``confirm`` gives those of the
+    pairs (a, b) whose full sets overlap enough. Each bucket's smallest node is first compared
+    with the others. Buckets whose nodes are then in one component are done; in the others, all
+    pairs across components are compared too. So every pair that shares a bucket is compared
+    unless its nodes are already joined, and a bucket of like nodes costs one comparison each.
+    Pairs whose sizes or sketches rule out ``percent`` of overlap for certain are left out first.
     """
+    words = [c for c in facts.columns if c not in ("rep", "lo", "hi")]
+    possible = f"100 * hi_a >= {percent} * lo_b and 100 * hi_b >= {percent} * lo_a and " + " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in words) + f" <= (hi_a + hi_b) * {100 - percent} / {100 + percent}"
+    of = lambda side: facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns])
     buckets = entries.groupBy("h").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("h", "center")
-    shared = staged(entries.join(staged(buckets, f"{tag}-buckets"), "h"), f"{tag}-shared")
+    buckets = staged(buckets, f"{tag}-buckets", release=True)
+    shared = staged(maybe_in(entries, "h", buckets, "h").join(buckets, "h"), f"{tag}-shared")
     stars = staged(shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), f"{tag}-stars")
-    confirm = prepare(staged(shared.select("rep").distinct(), f"{tag}-wanted"))
-    links = staged(confirm(stars), f"{tag}-links")
+    near = stars.join(of("a"), F.col("a") == F.col("rep_a")).join(of("b"), F.col("b") == F.col("rep_b")).where(possible).select("a", "b")
+    links = staged(confirm(staged(near, f"{tag}-near")), f"{tag}-links", release=True)
     parts = staged(connected_components(links, "a", "b"), f"{tag}-parts")
-    placed = shared.join(parts, shared["rep"] == parts["node"], "left").select("h", "rep", "n", F.coalesce("component", "rep").alias("part"))
+    placed = shared.join(parts, shared["rep"] == parts["node"], "left").select("h", "rep", F.coalesce("component", "rep").alias("part"))
     placed = staged(placed, f"{tag}-placed")
     mixed = placed.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("h")
-    left = staged(placed.join(staged(mixed, f"{tag}-mixed"), "h", "left_semi"), f"{tag}-open")
-    names = ["h", "rep", "n", "part"]
-    close = f"100 * least(n_a, n_b) >= {percent} * greatest(n_a, n_b)"
-    if sketches is not None:
-        words = [c for c in sketches.columns if c != "rep"]
-        left, names = left.join(sketches, "rep"), names + words
-        close += " and " + " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in words) + f" <= (n_a + n_b) * {100 - percent} / {100 + percent}"
-    one, two = (left.select("h", *[F.col(c).alias(f"{c}_{side}") for c in names[1:]]) for side in "ab")
-    rest = one.join(two, "h").where("rep_a < rep_b and part_a <> part_b").where(close).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
+    left = staged(placed.join(staged(mixed, f"{tag}-mixed"), "h", "left_semi").join(facts, "rep"), f"{tag}-open")
+    one, two = (left.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("part", *facts.columns)]) for side in "ab")
+    rest = one.join(two, "h").where("rep_a < rep_b and part_a <> part_b").where(possible).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
     rest = staged(rest.distinct().join(stars, ["a", "b"], "left_anti"), f"{tag}-rest")
     if rest.isEmpty():
         return parts
-    more = staged(confirm(rest), f"{tag}-more")
+    more = staged(confirm(rest), f"{tag}-more", release=True)
     if more.isEmpty():
         return parts
     return staged(connected_components(links.union(more), "a", "b"), f"{tag}-parts")

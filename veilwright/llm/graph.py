@@ -12,13 +12,8 @@ MAX_ROUNDS = 60
 
 
 def _mark(edges: DataFrame):
-    return tuple(
-        edges.agg(
-            F.count("*"),
-            F.sum(F.xxhash64("u", "v") % F.lit(1 << 20)),
-            F.sum(F.xxhash64("v", "u") % F.lit(1 << 20)),
-        ).first()
-    )
+    """How many edges there are, and 128 bits of hash of their set; each edge occurs once."""
+    return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u", F.lit(1)))).first())
 
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:

@@ -6,12 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import staged
 from .banding import linked_components
-from .filters import maybe_in
+from .filters import maybe_in, without
 from .words import WordHashes, bounded_batches, held, mix, shingle_sets, slices
 
 WORDS = 5
@@ -68,42 +68,48 @@ def _features(words: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = held("hashes", WordHashes)
         for batch in batches:
-            for ids, texts in slices(batch.column(0), batch.column(1)):
+            at = pa.array(range(batch.num_rows), pa.int64())
+            for own, texts in slices(at, batch.column(1)):
                 value, n = shingle_sets(texts, words, cache)
                 sig = signatures(value, n, bands, rows)
-                doc = np.repeat(np.arange(len(n)), n)
-                keys = []
-                for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
-                    total = np.zeros(len(n), np.uint64)
-                    np.add.at(total, doc, mix(value ^ np.uint64(salt)))
-                    keys.append(total.astype(np.int64))
+                keys = _set_keys(value, n)
                 offsets = pa.array(np.arange(0, len(n) * bands + 1, bands, dtype=np.int32))
                 sketch = parity_sketch(value, n).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(offsets, pa.array(sig.astype(np.int64).ravel()))]
+                    [batch.column(0).slice(own[0], len(own)), batch.column(2).slice(own[0], len(own)), pa.array(n), pa.array(keys[0]), pa.array(keys[1]), pa.ListArray.from_arrays(offsets, pa.array(sig.astype(np.int64).ravel()))]
                     + [pa.array(sketch[:, i]) for i in range(SKETCH_WORDS)],
-                    names=["id", "n", "k1", "k2", "bands", *SKETCH],
+                    names=["id", "row_hash", "n", "k1", "k2", "bands", *SKETCH],
                 )
 
     return run
 
 
+def _set_keys(value: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """128 bits that name each set, in two 64-bit words."""
+    doc, keys = np.repeat(np.arange(len(n)), n), []
+    for salt in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F):
+        total = np.zeros(len(n), np.uint64)
+        np.add.at(total, doc, mix(value ^ np.uint64(salt)))
+        keys.append(total.astype(np.int64))
+    return keys
+
+
 def _sets(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = held("hashes", WordHashes)
         for batch in batches:
-            for ids, texts in slices(batch.column(0), batch.column(1)):
+            for _, texts in slices(batch.column(0), batch.column(1)):
                 value, n = shingle_sets(texts, words, cache)
                 offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.int64)))], names=["id", "items"])
+                yield pa.RecordBatch.from_arrays([pa.array(n), *map(pa.array, _set_keys(value, n)), pa.ListArray.from_arrays(offsets, pa.array(value.astype(np.int64)))], names=["n", "k1", "k2", "items"])
 
     return run
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets overlap enough."""
-    left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
-    right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("items").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("items").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(left, "a").join(right, "b")
@@ -113,6 +119,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
+def row_hash(id_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -122,34 +132,51 @@ def near_duplicates(
     bands: int = BANDS,
     rows: int = ROWS,
 ) -> DataFrame:
-    """(id, n_shingles, component_id, kept): near-duplicate components by word shingles.
+    """(id, n_shingles, component_id, kept, row_hash): near-duplicate components by word shingles.
 
-    Texts with equal shingle sets are one class, so that copies cost one row from there on.
-    Classes that share a band are candidates; each pair is confirmed on full shingle sets
-    unless its classes are already joined (see ``linked_components``).
+    Texts with equal shingle sets are one class, named by its content, so that copies cost one
+    row from there on. Classes that share a band are candidates; each pair is confirmed on full
+    shingle sets unless its classes are already joined (see ``linked_components``).
 
     Null texts are empty; empty texts and rows with a null id link with nothing and are kept
-    (a null id has a null component). Rows that repeat an id are returned each. Other columns
-    are ignored.
+    (a null id has a null component). Rows that repeat an id are returned each, by their own
+    texts. Other columns are ignored.
     """
     percent = round(100 * threshold)
-    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    schema = "id long, n long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), row_hash(id_col, text_col).alias("row_hash"))
+    schema = "id long, row_hash long, n long, k1 long, k2 long, bands array<long>, " + ", ".join(f"{c} long" for c in SKETCH)
     features = staged(source.mapInArrow(_features(words, bands, rows), schema), "features")
     key = ["n", "k1", "k2"]
-    classes = features.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("rep"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in SKETCH])
-    classes = staged(classes, "classes")
-    entries = classes.select(F.explode("bands").alias("h"), "rep", "n")
-
-    def prepare(wanted: DataFrame):
-        texts = maybe_in(source, "id", wanted, "rep").join(wanted.withColumnRenamed("rep", "id"), "id", "left_semi").select("id", "text").dropDuplicates(["id"])
-        sets = staged(texts.mapInArrow(_sets(words), "id long, items array<long>"), "sets")
-        return lambda pairs: _linked(pairs, sets, percent)
-
-    parts = linked_components(entries, prepare, percent, "minhash", classes.select("rep", *SKETCH))
-    named = classes.join(parts, classes["rep"] == parts["node"], "left").select(*key, F.coalesce("component", "rep").alias("component_id"))
-    out = features.drop("bands", *SKETCH).join(staged(named, "named"), key, "left")
+    classes = features.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("first"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in SKETCH])
+    classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", release=True)  # numbered once written
+    entries = classes.select(F.explode("bands").alias("h"), F.col("node").alias("rep"))
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        nodes = staged(classes.select("node", *key, "first").join(nodes, "node", "left_semi"), "nodes")
+        texts = maybe_in(source, "id", nodes, "first").join(nodes.select(F.col("first").alias("id")), "id", "left_semi").select("id", "text")
+        sets = texts.mapInArrow(_sets(words), "n long, k1 long, k2 long, items array<long>").join(nodes, key).select("node", "items")
+        return _linked(pairs, staged(sets.dropDuplicates(["node"]), "sets", release=True), percent)
+
+    facts = classes.select(F.col("node").alias("rep"), F.col("n").alias("lo"), F.col("n").alias("hi"), *SKETCH)
+    parts = linked_components(entries, facts, confirm, percent, "minhash")
+    joined = staged(classes.select("node", *key, "first").join(parts, "node"), "joined")
+    smallest = staged(joined.groupBy("component").agg(F.min("first").alias("component_id")), "smallest")
+    grouped = joined.select(*key, "component").join(smallest, "component").select(*key, "component_id")
+    alone = classes.join(parts, "node", "left_anti").select(*key, F.col("first").alias("component_id"))
+    out = features.drop("bands", *SKETCH).join(staged(grouped.unionByName(alone), "named"), key, "left")
     component = F.when((F.col("n") > 0) & F.col("id").isNotNull(), F.col("component_id")).otherwise(F.col("id"))
     return out.select(
-        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept")
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"), "row_hash"
     )
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """``docs`` without the rows that ``near_duplicates`` does not keep, all columns kept.
+
+    A row goes by its id and text, so another text with the same id stays. Only rows that may
+    go are shuffled.
+    """
+    gone = near_duplicates(docs, id_col, text_col, **options).where("not kept").select("row_hash").distinct()
+    rows = docs.withColumn("_row_hash", row_hash(id_col, text_col))
+    return without(rows, "_row_hash", staged(gone, "near-dropped", release=True), "row_hash").select(*docs.columns)
