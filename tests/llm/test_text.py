@@ -18,6 +18,19 @@ def edge(spark):
     return spark.createDataFrame([*rows, rows[4], (None, "a b", None, None, None, None, None, None, None)], EDGE)
 
 
+def test_ids_are_decoded(spark):
+    own = bpe.Coder(queries.BYTE_BPE)
+    plain, other = own.merge(b"word")[0], own.merge(b"other")[0]
+    own.tokens[plain] = own.tokens[other]
+    assert own.code("a word")[1] != b"a word" or own.merge(b" word") != [plain]
+    assert own.code("word")[1] == b"other"
+
+
+def test_other_signs_and_digits_are_seen_whole():
+    tokens = quality.ChunkTokens()
+    assert tokens[b"!!!!!?"] != tokens[b"!!!!!!"] and tokens[b"123456789"] != tokens[b"1234567890"] and tokens[b"12"] == tokens[b"34"]
+
+
 def test_lexicon():
     rng = random.Random(4)
     words = {bytes(rng.choice(b"abcd") for _ in range(rng.randint(0, 7))): [rng.randint(0, 9) for _ in range(rng.randint(0, 3))] for _ in range(500)}
@@ -140,8 +153,8 @@ def test_dual_coordinate_descent_separates():
     rng = np.random.default_rng(0)
     rows = [np.unique(np.concatenate([rng.integers(0, 40, 8), [45 + (i % 2)]])) for i in range(80)]
     y = np.array([1.0 if i % 2 else -1.0 for i in range(80)])
-    w, bias = quality.dual_coordinate_descent(rows, y, np.ones(50), np.ones(80))
     index, n = np.concatenate(rows), np.array([len(r) for r in rows])
+    w, bias = quality.dual_coordinate_descent(index, n, y, np.ones(50), np.ones(80))
     assert (np.sign(quality.margins(w, bias, index, n)) == y).all()
 
 

@@ -21,7 +21,8 @@ from .words import bounded_batches, slices
 
 #: Words compiled into the lexicon, each with and without a space before it.
 LEXICON_WORDS = 50_000
-CACHE = 500_000
+#: What each of a worker's three caches holds at most, in bytes of Python objects, about.
+CACHE_BYTES = 80 << 20
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: Where a run of white space goes on across a single space, a text cannot be cut at its spaces.
@@ -55,11 +56,9 @@ class Coder:
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lexicon = Lexicon(lexicon) if lexicon else None
-        #: Whether all words so far decoded to themselves, as those of a complete byte alphabet do.
-        self.faithful = True
-        self._words = _Cache(self._word_ids)
-        self._bare = _Cache(self._chunk_ids)
-        self._spaced = _Cache(lambda chunk: self._chunk_ids(" " + chunk))
+        self._words = _Cache(self._word_coded)
+        self._bare = _Cache(self._chunk_coded)
+        self._spaced = _Cache(lambda chunk: self._chunk_coded(" " + chunk))
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merges of one word: always the leftmost of the pairs of lowest rank."""
@@ -105,47 +104,48 @@ class Coder:
         return self.merge(raw) if ids is None else ids
 
     def encode(self, text: str) -> list[int]:
-        joined = self.encode_text(text)
+        joined = self.code(text)[0]
         return list(map(int, joined.split(b","))) if joined else []
 
     def decode(self, ids: list[int]) -> str:
         return b"".join([self.tokens[i] for i in ids]).decode("utf-8", "replace")
 
-    def encode_text(self, text: str) -> bytes:
-        """Decimal ids joined by commas. Special tokens' strings stand for themselves wherever they occur."""
-        out: list[bytes] = []
+    def code(self, text: str) -> tuple[bytes, bytes]:
+        """Decimal ids joined by commas, and the bytes that these ids stand for.
+
+        Special tokens' strings stand for themselves wherever they occur. The bytes are those of
+        the ids' tokens, looked up once for each word that is remembered.
+        """
+        out: list[tuple[bytes, bytes]] = []
         for part in self._special.split(text) if self._special else [text]:
             if not part:
                 continue
             if part in self.special:
-                out.append(b"%d" % self.special[part])
+                out.append(self._coded([self.special[part]]))
             elif _ACROSS.search(part):
-                out.append(self._chunk_ids(part))
+                out.append(self._chunk_coded(part))
             else:
                 first, *rest = part.split(" ")
                 if first:
                     out.append(self._bare[first])
                 out += map(self._spaced.__getitem__, rest)
-        return b",".join(out)
+        return _joined(out)
 
-    def _chunk_ids(self, chunk: str) -> bytes:
-        return b",".join(map(self._words.__getitem__, _SPLIT.findall(chunk)))
+    def _chunk_coded(self, chunk: str) -> tuple[bytes, bytes]:
+        return _joined(list(map(self._words.__getitem__, _SPLIT.findall(chunk))))
 
-    def _word_ids(self, word: str) -> bytes:
-        ids = self.word(word)
-        self.faithful &= b"".join([self.tokens[i] for i in ids]) == word.encode()
-        return ",".join(map(str, ids)).encode()
+    def _word_coded(self, word: str) -> tuple[bytes, bytes]:
+        return self._coded(self.word(word))
 
-    def round_trip(self, text: str) -> tuple[bytes, bytes]:
-        """Decimal ids joined by commas, and the text that they decode to, in UTF-8.
+    def _coded(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return ",".join(map(str, ids)).encode(), b"".join([self.tokens[i] for i in ids])
 
-        Each word is decoded when it is first encoded. As long as all came out as they went in,
-        and special tokens do by their definition, a text's words put together are the text.
-        """
-        joined = self.encode_text(text)
-        if self.faithful:
-            return joined, text.encode()
-        return joined, self.decode(list(map(int, joined.split(b","))) if joined else []).encode()
+
+def _joined(coded: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    if not coded:
+        return b"", b""
+    ids, raw = zip(*coded, strict=True)
+    return b",".join(ids), b"".join(raw)
 
 
 _NONE = (1 << 30, -1)
@@ -155,13 +155,16 @@ class _Cache(dict):
     """What ``make`` gives for a text; long texts are not kept, and all go when it is full."""
 
     def __init__(self, make):
-        self.make = make
+        self.make, self.room = make, CACHE_BYTES
 
-    def __missing__(self, text: str) -> bytes:
+    def __missing__(self, text: str) -> tuple[bytes, bytes]:
         value = self.make(text)
         if len(text) < 64:
-            if len(self) >= CACHE:
+            size = 320 + len(text) + len(value[0]) + len(value[1])
+            if size > self.room:
                 self.clear()
+                self.room = CACHE_BYTES
+            self.room -= size
             self[text] = value
         return value
 
@@ -195,14 +198,16 @@ def ship_lexicon(docs: DataFrame, tokenizer: str, text_col: str = "text", limit:
     """Compiles the frequent words into a file in the scratch folder, which every executor fetches; its name there.
 
     At most ``limit`` words reach the driver and the file (about 2 MB for 50,000). An executor
-    that starts later fetches the file too.
+    that starts later fetches the file too; one whose content was shipped before is not again.
     """
     own = Coder(tokenizer)
     words = {form for w in frequent_words(docs, text_col, limit) for form in (w, " " + w)}
     data = build((w.encode(), own.merge(w.encode())) for w in words)
-    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:12]}-{uuid.uuid4().hex[:8]}.bin"
+    name = f"lexicon-{hashlib.sha256(data).hexdigest()[:24]}.bin"
     spark = docs.sparkSession
-    path = f"{scratch_root(spark)}/veilwright/{name}"
+    if any(str(path).endswith(f"/{name}") for path in spark.sparkContext.listFiles):
+        return name
+    path = f"{scratch_root(spark)}/veilwright/{uuid.uuid4().hex}/{name}"
     target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     stream = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
     try:
@@ -220,7 +225,8 @@ def _coded(tokenizer: str, lexicon: str | None, keep: bool):
             for ids, texts in slices(batch.column(0), batch.column(1)):
                 rows = []
                 for text in texts:
-                    joined, back = own.round_trip(text.decode("utf-8", "replace"))
+                    joined, raw = own.code(text.decode("utf-8", "replace"))
+                    back = raw.decode("utf-8", "replace").encode()
                     n = joined.count(b",") + 1 if joined else 0
                     full = [list(map(int, joined.split(b","))) if joined else [], back.decode()] if keep else [None, None]
                     rows.append((n, hashlib.sha256(joined).hexdigest(), hashlib.sha256(back).hexdigest(), *full))

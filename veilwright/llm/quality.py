@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .filters import maybe_in
-from .words import bounded_batches, held, mix, slices
+from .words import bounded_batches, held, mix, released, slices
 
 #: N-grams are hashed to this many indicators.
 BITS = 18
@@ -33,9 +33,9 @@ class ChunkTokens(dict):
     """32-bit hashes of the tokens of a chunk between white space, as bytes.
 
     Runs of letters are lower-cased, with a mark token before one written in capitals, and taken
-    in successive pieces of LETTERS, as scripts without spaces have whole texts in one run; digits
-    count by their number only; runs of other signs are cut to four. The two lowest bits tell
-    letters (0), other signs (1), digits (2) and marks (3) apart.
+    in successive pieces of LETTERS, as scripts without spaces have whole texts in one run, and so
+    are runs of other signs; digits count by their number only. The two lowest bits tell letters
+    (0), other signs (1), digits (2) and marks (3) apart.
     """
 
     def __missing__(self, chunk: bytes) -> bytes:
@@ -44,11 +44,8 @@ class ChunkTokens(dict):
             kind = 0 if token[0].isalpha() else 2 if token[0].isdigit() else 1
             if kind == 0 and len(token) > 1 and token.isupper():
                 out.append(("^", 3))
-            if kind == 0:
-                low = token.lower()
-                out += [(low[k : k + LETTERS], 0) for k in range(0, len(low), LETTERS)]
-                continue
-            out.append(("0" * min(len(token), 8) if kind == 2 else token[:4], kind))
+            whole = f"0{len(token)}" if kind == 2 else token.lower()
+            out += [(whole[k : k + LETTERS], kind) for k in range(0, len(whole), LETTERS)]
         value = np.array([xxhash.xxh32_intdigest(t.encode()) & ~3 | kind for t, kind in out], "<u4").tobytes()
         if len(chunk) < 64:
             if len(self) >= CACHE_CHUNKS:
@@ -116,25 +113,28 @@ def margins(weights: np.ndarray, bias: float, index: np.ndarray, n: np.ndarray,
     return total + bias
 
 
-def dual_coordinate_descent(rows: list[np.ndarray], y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, bits: int = BITS, epochs: int = 25, seed: int = 3) -> tuple[np.ndarray, float]:
+def dual_coordinate_descent(index: np.ndarray, n: np.ndarray, y: np.ndarray, ratio: np.ndarray, cost: np.ndarray, bits: int = BITS, epochs: int = 25, seed: int = 3) -> tuple[np.ndarray, float]:
     """A linear hinge-loss model over rows of indicators, each scaled by ``ratio`` and its share in the row.
 
-    One dual variable at a time is moved to its best value in 0..cost; the bias is the weight of
-    a constant feature.
+    The rows lie one after the other in ``index``, ``n`` to each. One dual variable at a time is
+    moved to its best value in 0..cost; the bias is the weight of a constant feature.
     """
     w, bias = np.zeros(len(ratio)), 0.0
-    alpha = np.zeros(len(rows))
-    values = [ratio[r] * scales(r, np.array([len(r)]), bits) for r in rows]
-    norms = np.array([v @ v + 1 for v in values])
+    alpha = np.zeros(len(n))
+    values = (ratio[index] * scales(index, n, bits)).astype(np.float32)
+    ends = np.cumsum(n)
+    starts = ends - n
+    norms = np.array([values[s:e] @ values[s:e] + 1 for s, e in zip(starts, ends, strict=True)])
     rng = np.random.default_rng(seed)
     for _ in range(epochs):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            grad = y[i] * (w[rows[i]] @ values[i] + bias) - 1
+        for i in rng.permutation(len(n)):
+            at, own = index[starts[i] : ends[i]], values[starts[i] : ends[i]]
+            grad = y[i] * (w[at] @ own + bias) - 1
             new = min(max(alpha[i] - grad / norms[i], 0.0), cost[i])
             if new != alpha[i]:
                 step = (new - alpha[i]) * y[i]
-                w[rows[i]] += step * values[i]
+                w[at] += step * own
                 bias += step
                 moved = max(moved, abs(new - alpha[i]))
                 alpha[i] = new
@@ -189,12 +189,24 @@ def _rows(bits: int):
         for batch in batches:
             for labels, texts in slices(batch.column(0), batch.column(1)):
                 index, n = indicators(texts, cache, bits)
-                offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(index))], names=["y", "items"])
+                items = [r.astype("<i4").tobytes() for r in np.split(index, np.cumsum(n)[:-1])]
+                yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int64()), pa.array(items, pa.binary())], names=["y", "items"])
 
     return run
 
 
+def _sample(taken: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Labels, and the rows one after the other with the length of each, in an order that no partitioning sways."""
+    labels, items = taken.column("y").to_numpy(), taken.column("items").to_pylist()
+    order = sorted(range(len(items)), key=lambda i: (labels[i], items[i]))
+    n = np.array([len(items[i]) // 4 for i in order], np.int64)
+    return np.where(labels[order] == 1, 1.0, -1.0), np.frombuffer(b"".join([items[i] for i in order]), "<i4"), n
+
+
+def _chosen(index: np.ndarray, n: np.ndarray, keep: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return index[np.repeat(keep, n)], n[keep]
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, bits: int = BITS) -> NbSvm:
     """Fits on the texts of ``docs`` that ``labels`` marks 0 or 1.
 
@@ -208,28 +220,26 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     source = bounded_batches(docs).select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     # one plan at every size: both sides are dealt by id, and only texts that may be labelled
     known = maybe_in(source, "id", marked, "id").join(marked.hint("merge"), "id").select("y", "text")
-    counts = known.mapInArrow(_counts(bits), "i int, bad long, good long").groupBy("i").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toPandas()
+    counts = known.mapInArrow(_counts(bits), "i int, bad long, good long").groupBy("i").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
     sums = np.zeros((2, table_size(bits)))
-    sums[0][counts["i"]], sums[1][counts["i"]] = counts["bad"], counts["good"]
+    at = counts.column("i").to_numpy()
+    sums[0][at], sums[1][at] = counts.column("bad").to_numpy(), counts.column("good").to_numpy()
     ratio = log_count_ratios(sums)
     few = [marked.where(F.col("y") == c).orderBy(F.xxhash64("id"), "id").limit(sample) for c in (0, 1)]
     picked = F.broadcast(few[0].union(few[1]))  # at most 2 * sample rows
-    taken = source.join(picked, "id").select("y", "text").mapInArrow(_rows(bits), "y long, items array<int>").toPandas()
-    y = np.where(taken["y"] == 1, 1.0, -1.0) if len(taken) else np.zeros(0)
+    y, index, n = _sample(source.join(picked, "id").select("y", "text").mapInArrow(_rows(bits), "y long, items binary").toArrow())
+    del counts, sums, at
     if len(set(y)) < 2:
         return NbSvm(np.zeros(table_size(bits), np.float32), 0.0, 1.0, 0.0 if not len(y) else 5.0 * y[0], bits)
-    rows = [np.asarray(r, np.int64) for r in taken["items"]]
-    order = sorted(range(len(rows)), key=lambda i: (y[i], rows[i].tobytes()))
-    fold = np.zeros(len(rows), int)
-    fold[order] = np.arange(len(rows)) % 4
-    fitting = [i for i in order if fold[i]] if len(rows) >= 40 else order
+    fitting = np.arange(len(y)) % 4 > 0 if len(y) >= 40 else np.ones(len(y), bool)
     share = np.array([(y[fitting] == c).mean() for c in (-1, 1)])
     cost = np.where(y[fitting] < 0, 0.5 / share[0], 0.5 / share[1])
-    w, bias = dual_coordinate_descent([rows[i] for i in fitting], y[fitting], ratio, cost, bits)
+    w, bias = dual_coordinate_descent(*_chosen(index, n, fitting), y[fitting], ratio, cost, bits)
     weights = (w * ratio).astype(np.float32)
-    held = [i for i in order if not fold[i]] if len(rows) >= 40 else order
-    index, n = np.concatenate([rows[i] for i in held]), np.array([len(rows[i]) for i in held])
-    slope, shift = logistic(margins(weights, bias, index, n, bits), y[held])
+    rest = ~fitting if len(y) >= 40 else fitting
+    slope, shift = logistic(margins(weights, bias, *_chosen(index, n, rest), bits), y[rest])
+    del index, n, w, ratio
+    released()
     return NbSvm(weights, bias, slope, shift, bits)
 
 

@@ -42,6 +42,14 @@ def bounded_batches(df: DataFrame) -> DataFrame:
 _held: dict = {}
 
 
+def released() -> None:
+    """Gives what this process no longer uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def held(kind, make):
     """What ``make`` gave in this worker process for ``kind``, kept from task to task; one kind at a time.
 
@@ -51,10 +59,7 @@ def held(kind, make):
     if kind not in _held:
         if _held:
             _held.clear()
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):
-                ctypes.CDLL(None).malloc_trim(0)  # else what the last kind held stays with the process
+            released()  # else what the last kind held stays with the process
         _held[kind] = make()
     return _held[kind]
 
