@@ -1,10 +1,12 @@
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
 import pytest
 from oracle import compare
+from pyspark.sql import functions as F
 
 from veilwright.llm import bpe, chat, lexicon, packing, quality, queries, secrets, urls
 
@@ -263,3 +265,26 @@ def test_owners_of_hosts(spark):
     pages = spark.createDataFrame([(i, "bad.co.uk") for i in range(40)] + [(i, "good.co.uk") for i in range(40, 80)] + [(80, "www.good.co.uk")], "id long, host string")
     rates = {r["host"]: r["rate"] for r in urls.reputation(pages, spark.createDataFrame([(i, int(i < 40)) for i in range(80)], "id long, bad int")).collect()}
     assert rates["www.good.co.uk"] < 0.3
+
+
+def test_many_secrets_in_one_text(spark):
+    values = [hashlib.sha1(str(k).encode()).hexdigest() for k in range(16_000)]
+    text = "\n".join(f'token = "{v}"' for v in values)
+    df = spark.createDataFrame([(1, text), (2, text[:1000])], "doc_id long, text string")
+    found = secrets.staged(secrets.secret_findings(df), "found")
+    begun = time.time()
+    out = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(df, found).collect()}
+    assert time.time() - begun < 15 and found.where("doc_id = 1 and secret").count() == 16_000
+    assert out[1] == "\n".join([f'token = "{secrets.MARK}"'] * 16_000)
+
+
+def test_forest_on_findings_it_has_not_seen(spark):
+    words = "the of and to in that was his with for had you not are but from".split()
+    rows = secrets.labelled_findings(spark, words)
+    half = F.xxhash64("candidate", "before") % 2 == 0
+    model = secrets.train(rows.where(half), words)
+    score = secrets.scored(secrets.with_features(rows.where(~half), words), model)
+    by_kind = {r["kind"]: (r["label"], r["hit"]) for r in score.groupBy("kind").agg(F.max("label").alias("label"), F.avg((F.col("score") >= secrets.CUT).cast("int")).alias("hit")).collect()}
+    assert len(by_kind) == 20
+    recall, alarms = [h for y, h in by_kind.values() if y], [h for y, h in by_kind.values() if not y]
+    assert min(recall) >= 0.8 and np.mean(recall) >= 0.95 and max(alarms) <= 0.2 and np.mean(alarms) <= 0.05

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import staged
@@ -41,33 +41,40 @@ FEATURES = [
 ]
 
 
+def _by_pattern(text: Column, of) -> Column:
+    introduced = text.contains("=") | text.contains(":") | F.lower(text).contains("bearer")  # else only runs are there
+    return F.when(introduced, of(CANDIDATE)).otherwise(of(RUN))
+
+
+def _pieces(text: Column) -> tuple[Column, Column]:
+    """The candidates of a text in order, and what stands between them: one piece more."""
+    return _by_pattern(text, lambda p: F.regexp_extract_all(text, F.lit(p), 0)).alias("found"), _by_pattern(text, lambda p: F.split(text, p, -1)).alias("between")
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
-    """(id, h, start, end, candidate, before, after, path) for each candidate of each text.
+    """(id, h, nth, start, end, candidate, before, after, path) for each candidate of each text.
 
-    Offsets are code points. ``before`` and ``after`` are the AROUND code points on either side,
+    ``nth`` counts a text's candidates from 0. Offsets are code points. ``before`` and ``after`` are the AROUND code points on either side,
     with any other candidates that they hold. ``h`` is a hash of id and text, so that rows that repeat an id with
     another text are told apart.
     """
     text = F.col("text")
     path = F.coalesce(F.col(path_col).cast("string"), F.lit("")) if path_col and path_col in docs.columns else F.lit("")
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), path.alias("path"))
-    introduced = text.contains("=") | text.contains(":") | F.lower(text).contains("bearer")  # else only runs are there
-    rows = rows.where(F.when(introduced, text.rlike(CANDIDATE)).otherwise(text.rlike(RUN)))
-    by = lambda of: F.when(introduced, of(CANDIDATE)).otherwise(of(RUN))
-    rows = rows.select("id", F.xxhash64("id", "text").alias("h"), "path", by(lambda p: F.regexp_extract_all("text", F.lit(p), 0)).alias("found"), by(lambda p: F.split("text", p, -1)).alias("between"))
-    rows = rows.withColumn("sizes", F.transform("found", lambda c, i: F.length(c) + F.length(F.get("between", i))))
-    rows = rows.withColumn("ends", F.aggregate("sizes", F.array().cast("array<long>"), lambda done, n: F.concat(done, F.array((F.coalesce(F.get(done, F.size(done) - 1), F.lit(0)) + n).cast("long")))))
-    rows = rows.select("id", "h", "path", "found", "between", "ends", F.posexplode("found").alias("i", "candidate"))
-    end, i = F.get("ends", F.col("i")), F.col("i")
+    rows = rows.where(_by_pattern(text, lambda p: text.rlike(p)))
+    rows = rows.select("id", F.xxhash64("id", "text").alias("h"), "path", *_pieces(text))
+    rows = rows.withColumn("row", F.monotonically_increasing_id()).select("id", "h", "path", "row", "found", "between", F.posexplode("found").alias("i", "candidate"))
+    i = F.col("i")
     reach = AROUND // 3  # so many candidates, with what introduces the short ones, are at least AROUND long
     piece = lambda name, at, start: F.coalesce(F.substring(F.get(name, at), start, AROUND), F.lit(""))
     before = F.concat(*[piece(name, i - k, -AROUND) for k in range(reach, 0, -1) for name in ("between", "found")], piece("between", i, -AROUND))
     after = F.concat(piece("between", i + 1, 1), *[piece(name, i + k + int(name == "between"), 1) for k in range(1, reach + 1) for name in ("found", "between")])
-    return rows.select(
-        "id", "h", (end - F.length("candidate")).alias("start"), end.alias("end"), "candidate",
+    rows = rows.select(
+        "id", "h", "row", "path", "i", "candidate", (F.length("candidate") + F.length(F.get("between", i))).cast("long").alias("size"),
         F.substring(before, -AROUND, AROUND).alias("before"), F.substring(after, 1, AROUND).alias("after"),
-        "path",
     )
+    end = F.sum("size").over(Window.partitionBy("row").orderBy("i").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return rows.withColumn("end", end).select("id", "h", F.col("i").alias("nth"), (F.col("end") - F.length("candidate")).alias("start"), "end", "candidate", "before", "after", "path")
 
 
 def frequent_words(docs: DataFrame, text_col: str = "text", limit: int = DICTIONARY) -> list[str]:
@@ -97,7 +104,7 @@ def with_features(found: DataFrame, dictionary: list[str]) -> DataFrame:
 
 
 def labelled_findings(spark: SparkSession, dictionary: list[str], rows: int = 4000) -> DataFrame:
-    """A made set of labelled findings (candidate, before, after, path, label) for training.
+    """A made set of labelled findings (candidate, before, after, path, label, kind) for training.
 
     Twenty kinds in turn, half of them secrets, drawn by hashing the row number, so it is the
     same at every call. Callers with reviewed findings of their own pass those instead.
@@ -136,7 +143,7 @@ def labelled_findings(spark: SparkSession, dictionary: list[str], rows: int = 40
     kind = (i % len(cases)).cast("int")
     pick = lambda at: F.get(F.array(*[c[at] if isinstance(c[at], Column) else F.lit(c[at]) for c in cases]), kind)
     path = F.get(F.array(*map(F.lit, ["", "src", "app/settings.py", "tests/data.json"])), draw("path", 4))
-    made = spark.range(0, rows, 1, 1).select(pick(1).alias("candidate"), pick(2).alias("before"), F.when(kind.isin(16, 17), F.concat(F.lit("@db/main"), tail)).otherwise(F.concat(quote, tail)).alias("after"), path.alias("path"), pick(0).cast("double").alias("label"))
+    made = spark.range(0, rows, 1, 1).select(pick(1).alias("candidate"), pick(2).alias("before"), F.when(kind.isin(16, 17), F.concat(F.lit("@db/main"), tail)).otherwise(F.concat(quote, tail)).alias("after"), path.alias("path"), pick(0).cast("double").alias("label"), kind.alias("kind"))
     return made.withColumns({"before": F.substring("before", -AROUND, AROUND), "after": F.substring("after", 1, AROUND)})
 
 
@@ -147,8 +154,14 @@ def train(findings: DataFrame, dictionary: list[str], trees: int = 40, depth: in
     return RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, featureSubsetStrategy="sqrt", subsamplingRate=0.8).fit(rows)
 
 
+def scored(rows: DataFrame, model: RandomForestClassificationModel) -> DataFrame:
+    """``rows``, which have the features, with the forest's vote for a secret as ``score``."""
+    rows = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
+    return rows.withColumn("score", F.get(vector_to_array("probability"), F.lit(1)))
+
+
 def secret_findings(docs: DataFrame, findings: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", cut: float = CUT) -> DataFrame:
-    """(id, h, start, end, candidate, score, secret) for each candidate of each text.
+    """(id, h, nth, start, end, candidate, score, secret) for each candidate of each text.
 
     Every run of at least LEAST characters of key material is a candidate, and so is a value of
     any length that an assignment to a key name, a URI's user or ``Bearer`` introduces; the
@@ -162,24 +175,24 @@ def secret_findings(docs: DataFrame, findings: DataFrame | None = None, id_col:
     dictionary = frequent_words(docs, text_col)
     model = train(findings if findings is not None else labelled_findings(docs.sparkSession, dictionary), dictionary)
     rows = with_features(candidates(docs, id_col, text_col, path_col), dictionary)
-    rows = model.transform(VectorAssembler(inputCols=FEATURES, outputCol="features").transform(rows))
-    score = F.get(vector_to_array("probability"), F.lit(1))
-    return rows.select(F.col("id").alias(id_col), "h", "start", "end", "candidate", score.alias("score"), (score >= cut).alias("secret"))
+    rows = scored(rows, model)
+    return rows.select(F.col("id").alias(id_col), "h", "nth", "start", "end", "candidate", "score", (F.col("score") >= cut).alias("secret"))
 
 
 def redact_secrets(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = MARK) -> DataFrame:
     """``docs`` with each secret of ``found`` replaced by ``mark``; all columns and rows stay.
 
     ``found`` is what ``secret_findings`` gave for ``docs``. Only rows that may hold a secret
-    are joined, so the rest of the texts is not shuffled.
+    are joined, so the rest of the texts is not shuffled. A text is taken apart at its
+    candidates once and put together again, in steps linear in its length.
     """
-    spans = found.where("secret").groupBy(F.col("h").alias("_found")).agg(F.array_sort(F.collect_set(F.struct("start", "end"))).alias("_spans"))
-    spans = staged(spans, "secret-spans")
+    flags = found.groupBy(F.col("h").alias("_found")).agg(F.array_sort(F.collect_set(F.struct("nth", "secret"))).alias("_flags"), F.max("secret").alias("_any"))
+    flags = staged(flags.where("_any").select("_found", F.col("_flags.secret").alias("_flags")), "secret-flags")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = marked(docs.withColumn("_key", F.xxhash64(F.col(id_col), text)), "_key", spans, "_found")
-    cut = F.aggregate("_spans", F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at")), lambda done, s: F.struct(
-        F.concat(done["out"], F.substring(text, (done["at"] + 1).cast("int"), (s["start"] - done["at"]).cast("int")), F.lit(mark)).alias("out"), s["end"].alias("at")))
-    hit = rows.where("_maybe").join(spans, F.col("_key") == F.col("_found"), "left").withColumn("_cut", cut)
-    new = F.when(F.col("_spans").isNull(), F.col(text_col)).otherwise(F.concat(F.col("_cut.out"), F.substring(text, (F.col("_cut.at") + 1).cast("int"), F.length(text))))
-    hit = hit.withColumn(text_col, new).select(*docs.columns)
+    rows = marked(docs.withColumn("_key", F.xxhash64(F.col(id_col), text)), "_key", flags, "_found")
+    parts = F.array(F.struct(*_pieces(text), F.col("_flags").alias("flags")))  # bound once by the lambda
+    piece = lambda p, b, i: F.concat(b, F.coalesce(F.when(F.get(p["flags"], i), F.lit(mark)).otherwise(F.get(p["found"], i)), F.lit("")))
+    whole = F.transform(parts, lambda p: F.array_join(F.transform(p["between"], lambda b, i: piece(p, b, i)), ""))
+    hit = rows.where("_maybe").join(flags, F.col("_key") == F.col("_found"), "left")
+    hit = hit.withColumn(text_col, F.when(F.col("_flags").isNull(), F.col(text_col)).otherwise(F.get(whole, F.lit(0)))).select(*docs.columns)
     return rows.where("not _maybe").select(*docs.columns).unionByName(hit)
