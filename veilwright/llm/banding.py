@@ -15,11 +15,11 @@ from .graph import connected_components
 def linked_components(entries: DataFrame, facts: DataFrame, confirm: Callable[[DataFrame], DataFrame], percent: int, tag: str) -> DataFrame:
     """(node, component) for each node that a confirmed link names; the component is its smallest node.
 
-    ``entries`` has (h, rep): node ``rep`` is in bucket ``h``. ``facts`` has for each node a lower
+    ``entries`` has (h, rep, ord): node ``rep``, of rank ``ord``, is in bucket ``h``. ``facts`` has for each node a lower
     and an upper bound ``lo`` and ``hi`` of its set's size, and 64-bit words of a sketch: two
     sketches differ in no more bits than the sets do in members. ``confirm`` gives those of the
-    pairs (a, b) whose full sets overlap enough. Each bucket's smallest node is first compared
-    with the others. Buckets whose nodes are then in one component are done; in the others, all
+    pairs (a, b) whose full sets overlap enough. Each bucket's node of lowest rank, the original
+    where copies come later, is first compared with the others. Buckets whose nodes are then in one component are done; in the others, all
     pairs across components are compared too. So every pair that shares a bucket is compared
     unless its nodes are already joined, and a bucket of like nodes costs one comparison each.
     Pairs whose sizes or sketches rule out ``percent`` of overlap for certain are left out first.
@@ -27,10 +27,10 @@ def linked_components(entries: DataFrame, facts: DataFrame, confirm: Callable[[D
     words = [c for c in facts.columns if c not in ("rep", "lo", "hi")]
     possible = f"100 * hi_a >= {percent} * lo_b and 100 * hi_b >= {percent} * lo_a and " + " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in words) + f" <= (hi_a + hi_b) * {100 - percent} / {100 + percent}"
     of = lambda side: facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns])
-    buckets = entries.groupBy("h").agg(F.min("rep").alias("center"), F.max("rep").alias("last")).where("center < last").select("h", "center")
+    buckets = entries.groupBy("h").agg(F.min_by("rep", "ord").alias("center"), F.count("*").alias("n")).where("n > 1").select("h", "center")
     buckets = staged(buckets, f"{tag}-buckets", release=True)
-    shared = staged(maybe_in(entries, "h", buckets, "h").join(buckets, "h"), f"{tag}-shared")
-    stars = staged(shared.where("rep <> center").select(F.col("center").alias("a"), F.col("rep").alias("b")).distinct(), f"{tag}-stars")
+    shared = staged(maybe_in(entries, "h", buckets, "h").join(buckets, "h").select("h", "rep", "center"), f"{tag}-shared")
+    stars = staged(shared.where("rep <> center").select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct(), f"{tag}-stars")
     near = stars.join(of("a"), F.col("a") == F.col("rep_a")).join(of("b"), F.col("b") == F.col("rep_b")).where(possible).select("a", "b")
     links = staged(confirm(staged(near, f"{tag}-near")), f"{tag}-links", release=True)
     parts = staged(connected_components(links, "a", "b"), f"{tag}-parts")

@@ -149,7 +149,7 @@ def near_duplicates(
     key = ["n", "k1", "k2"]
     classes = features.where("n > 0 and id is not null").groupBy(*key).agg(F.min("id").alias("first"), F.any_value("bands").alias("bands"), *[F.any_value(c).alias(c) for c in SKETCH])
     classes = staged(classes.withColumn("node", F.monotonically_increasing_id()), "classes", release=True)  # numbered once written
-    entries = classes.select(F.explode("bands").alias("h"), F.col("node").alias("rep"))
+    entries = classes.select(F.explode("bands").alias("h"), F.col("node").alias("rep"), F.col("first").alias("ord"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
