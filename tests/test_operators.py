@@ -6,6 +6,7 @@ from veilwright.errors import PrivacyError
 from veilwright.kernels import markers
 from veilwright.operators import algebra, evaluate, models, scan, structured, tokens
 from veilwright.sources import io
+from veilwright.streaming import restore as streaming
 from veilwright.workspace import aliases as ws
 from veilwright.workspace import history, policy
 
@@ -182,3 +183,62 @@ def test_any_number_of_retired_codes_is_told_from_unknown_ones(spark, sf_dir, tm
     rows = spark.read.schema(streaming.OUTPUT).parquet(f"{tmp_path}/out").collect()
     assert out.columns == [c.split()[0] for c in streaming.OUTPUT.split(", ")]
     assert {r["response_id"]: (r["failure"], r["text"]) for r in rows} == {"gone": ("expired", None), "never": ("unknown", None), "plain": (None, "to you.")}
+
+
+def test_names_of_the_package():
+    import veilwright
+
+    assert all(getattr(veilwright, name) is not None for name in veilwright.__all__)
+    with pytest.raises(AttributeError):
+        _ = veilwright.nothing
+
+
+def test_providers_that_answer_too_little(spark):
+    class Short:  # sent to the workers by value
+        def tokenize_batch(self, scope, items):
+            return []
+
+        def restore_batch(self, scope, items):
+            return [None] * len(items)
+
+    config = parse_scan_and_transform({"transform": {"default": {"strategy": "tokenize", "token_ref": "v"}}})
+    rows = frame(spark, [(1, "a@b.co x@y.co"), (2, "none"), (3, None)])
+    with pytest.raises(Exception, match="invalid_provider_response"):
+        tokens.tokenize_with(rows, config, Short(), "s", "id").collect()
+    items = tokens.required_tokenization_items(rows, config, "id").collect()
+    assert [(r["id"], r["ord"], r["value"]) for r in items] == [(1, 0, "a@b.co"), (1, 1, "x@y.co")]
+    results = spark.createDataFrame([(1, 0, "1", b"p")], "id long, ord int, version string, payload binary")
+    out = {r["id"]: r for r in tokens.transform_with_provider_results(rows, config, results, "id", on_error="quarantine").collect()}
+    assert out[1]["error"]["code"] == "invalid_provider_response" and out[2]["text"] == "none" and out[3]["text"] is None
+    held = tokens.tokenize(rows, config, "s", b"k").select("id", "text")
+    back = {r["id"]: r for r in tokens.restore_with(held, Short(), "s", "id", on_error="quarantine").collect()}
+    assert back[1]["error"]["code"] == "token_not_found" and back[2]["text"] == "none" and back[3]["text"] is None
+
+
+def test_restoring_texts_that_share_a_key(spark):
+    aliases = spark.createDataFrame([("P", "ann", "Ann", "000000", 1)], ws.ALIAS_SCHEMA)
+    texts = spark.createDataFrame([(1, "x [[P_000000]]"), (1, "[[P_000000]] yyy zzz"), (2, None), (2, "[[P_000001]]")], "id long, text string")
+    restored, issues = ws.restore_report(texts, aliases, "id")
+    assert sorted((r["id"], r["text"]) for r in restored.collect() if r["text"]) == [(1, "Ann yyy zzz"), (1, "x Ann")]
+    assert [(r["id"], r["kind"]) for r in issues.collect()] == [(2, "unknown")]
+    found = spark.createDataFrame([(1, 0, 1, "P", "ann")], "id long, start long, end long, entity_type string, matched_text string")
+    with pytest.raises(Exception, match="repeated key"):
+        ws.replace_with_aliases(texts, found, aliases, "id").collect()
+
+
+def test_responses_that_are_not_utf8(spark):
+    aliases = spark.createDataFrame([("P", "ann", "Ann", "000000", 1)], ws.ALIAS_SCHEMA)
+    chunks = spark.createDataFrame([("a", 0, bytearray(b"\xff\xfe"), True), ("b", 0, bytearray(b"hi [[P_00"), False), ("b", 1, bytearray(b"0000]]"), True)], streaming.CHUNK_SCHEMA)
+    restored, issues = streaming.buffered(chunks, aliases)
+    assert {r["response_id"]: r["text"] for r in restored.collect()} == {"a": None, "b": "hi Ann"}
+    assert [(r["response_id"], r["kind"]) for r in issues.collect()] == [("a", "invalid_encoding")]
+
+
+def test_findings_of_json_by_path(spark):
+    config = parse_transform({"default": {"strategy": "tokenize", "token_ref": "v"}})
+    rows = frame(spark, [(1, '{"a":"x@y.co","b":["x@y.co","z"]}'), (2, "not json"), (3, None)])
+    out = {r["id"]: r for r in structured.protect(rows, "text", config, on_error="quarantine", scope="s", token_key=b"k").collect()}
+    assert len(out[1]["issued"]) == 1 and len(out[1]["transformations"]) == 2 and out[2]["error"] is not None and out[3]["text"] is None
+    held = structured.protect(rows.where("id = 1"), "text", config, scope="s", token_key=b"k")
+    back = structured.restore(held.select("id", "text"), tokens.vault_rows(held, "s"), "s", "id", "text").first()
+    assert back["text"] == '{"a":"x@y.co","b":["x@y.co","z"]}'

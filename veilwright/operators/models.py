@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .. import registry
 from ..config import ScanConfig
 from ..errors import PrivacyError, invalid_config
 from ..registry import DETECTORS
@@ -91,11 +92,21 @@ def model_findings(df: DataFrame, key_col: str, make_backend, contract: ModelCon
 
 
 def compose(rules: DataFrame, model: DataFrame, key_col: str) -> DataFrame:
-    """One row per (key, start, end, entity_type): the best finding and the sorted names of all that found it."""
-    rows = rules.select(key_col, *COLUMNS).unionByName(model.select(key_col, *COLUMNS))
-    order = F.struct((-F.coalesce("confidence", F.lit(-1.0).cast("float"))).alias("c"), "detector_name")
-    best = F.min_by(F.struct("matched_text", "confidence", "detector_name"), order)
-    out = rows.groupBy(key_col, "start", "end", "entity_type").agg(best.alias("_b"), F.sort_array(F.collect_set("detector_name")).alias("sources"))
+    """One row per (key, start, end, entity_type): the best finding and the sorted names of all that found it.
+
+    Findings are met in order, those of rules first. A later one is better if it is a denied
+    phrase and the one so far is not; else, where both have a confidence, if it is surer; else if
+    its detector comes first by name.
+    """
+    side = lambda df, n: df.select(key_col, *COLUMNS, F.lit(n).alias("_side"))
+    rows = side(rules, 0).unionByName(side(model, 1))
+    met = F.array_sort(F.collect_set(F.struct("_side", "detector_name", "confidence", "matched_text")))
+    out = rows.groupBy(key_col, "start", "end", "entity_type").agg(met.alias("_m"), F.sort_array(F.collect_set("detector_name")).alias("sources"))
+    denied = lambda f: (F.col("entity_type") == registry.DENYLIST) & (f["detector_name"] == registry.DENY_DETECTOR)
+    both = lambda a, b: a["confidence"].isNotNull() & b["confidence"].isNotNull() & (a["confidence"] != b["confidence"])
+    better = lambda a, b: F.when(denied(a) != denied(b), denied(b)).when(both(a, b), b["confidence"] > a["confidence"]).otherwise(b["detector_name"] < a["detector_name"])
+    out = out.withColumn("_b", F.reduce("_m", F.get("_m", F.lit(0)), lambda a, b: F.when(better(a, b), b).otherwise(a)))
+    out = out.withColumn("_b", F.struct("_b.matched_text", "_b.confidence", "_b.detector_name"))
     return out.select(key_col, "start", "end", "entity_type", "_b.*", "sources")
 
 

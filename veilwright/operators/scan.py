@@ -13,6 +13,7 @@ from .. import types
 from ..config import ScanAndTransformConfig, ScanConfig, TransformConfig
 from ..errors import PrivacyError
 from ..kernels.spans import Finding, Policy, Scanner, byte_offsets, merge, rewrite, select, validate
+from ..session import spread
 
 FINDINGS = T.ArrayType(types.FINDING)
 
@@ -67,7 +68,7 @@ def with_findings(df: DataFrame, text_col: str = "text", config: ScanConfig = Sc
 def findings(df: DataFrame, key_cols: list[str] | str, text_col: str = "text", config: ScanConfig = ScanConfig()) -> DataFrame:
     """One row per finding: the key columns, its number within the text, and the finding's fields."""
     keys = [key_cols] if isinstance(key_cols, str) else key_cols
-    may = df.where(prefilter(F.col(text_col), config))
+    may = spread(df.select(*dict.fromkeys([*keys, text_col])).where(prefilter(F.col(text_col), config)))
     rows = may.select(*keys, scan_column(F.col(text_col), config).alias("_f"))
     return rows.select(*keys, F.posexplode("_f").alias("ord", "_f")).select(*keys, "ord", "_f.*")
 
@@ -129,12 +130,12 @@ def protect_column(text: Column, config: ScanAndTransformConfig, keys: dict | No
 
 def protect(df: DataFrame, config: ScanAndTransformConfig, text_col: str = "text", keys: dict | None = None, on_error: str = "raise") -> DataFrame:
     """``df`` with the text replaced by its protected form, and columns transformations and error."""
-    rows = df.withColumn("_p", protect_column(F.col(text_col), config, keys, on_error))
+    rows = spread(df).withColumn("_p", protect_column(F.col(text_col), config, keys, on_error))
     return rows.withColumns({text_col: F.col("_p.text"), "transformations": F.col("_p.transformations"), "error": F.col("_p.error")}).drop("_p")
 
 
 def transform(df: DataFrame, config: TransformConfig, text_col: str = "text", findings_col: str = "findings", keys: dict | None = None, on_error: str = "raise") -> DataFrame:
-    rows = df.withColumn("_p", transform_column(F.col(text_col), F.col(findings_col), config, keys, on_error))
+    rows = spread(df).withColumn("_p", transform_column(F.col(text_col), F.col(findings_col), config, keys, on_error))
     return rows.withColumns({text_col: F.col("_p.text"), "transformations": F.col("_p.transformations"), "error": F.col("_p.error")}).drop("_p")
 
 

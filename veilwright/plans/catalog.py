@@ -16,10 +16,11 @@ from ..config import ScanAndTransformConfig, ScanConfig, Strategy, TransformConf
 from ..functions import columns, sql
 from ..kernels.tree import StructuredConfig
 from ..operators import algebra, evaluate, models, report, scan, structured, tokens
-from ..registry import DETECTORS
+from ..registry import DETECTORS, VERSION
 from ..session import scratch_root, staged
 from ..sources.io import stream_documents, write_stream
 from ..streaming import restore as streaming
+from ..types import FINDING
 from ..workspace import aliases as ws
 from ..workspace import history, policy
 
@@ -100,6 +101,43 @@ for _label, (_table, _key, _before, _value, _after) in TEXTS.items():
     )(_label_query(_label))
 
 
+#: label: an expression of a value much like those of the label, which is none.
+_REJECTED = {
+    "EMAIL": f"'user' || CAST({_C} AS STRING) || '@mail'",
+    "PHONE": f"'(112) 555-' || {_pad(f'{_C} % 10000', 4)}",
+    "SSN": f"'000-12-' || {_pad(f'1 + {_C} % 9999', 4)}",
+    "DATE": f"{_YMD[0]} || '-02-30'",
+    "ZIP_CODE": f"'$' || {_pad(f'{_C} % 100000', 5)}",
+    "IP_ADDRESS": f"'10.0.256.' || CAST({_O} % 256 AS STRING)",
+    "NPI": _pad(_C, 11, "1"),
+    "API_KEY": f"'ghp_' || substr({_MD5}, 1, 30)",
+    "CREDENTIAL_URI": f"'postgresql://app@db' || CAST({_C} AS STRING) || '/main'",
+    "UUID": f"substr({_MD5}, 1, 8) || '-0000-9000-a000-' || substr({_MD5}, 21, 12)",
+}
+
+
+def _mixed_query(label: str) -> Query:
+    name, key, before, value, after = TEXTS[label]
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        one = f"CASE WHEN {key} % 3 = 0 THEN {_REJECTED[label]} ELSE {value} END"
+        rows = table(spark, sf_dir, name).selectExpr(f"{key} AS id", f"'é ' || {before} || {one} || {after} || ' ü ' || {before} || {value} || ' ' || {_REJECTED[label]} AS text")
+        found = scan.findings(rows, "id", "text", ScanConfig(detect_uuid=label == "UUID", entities=(label,)))
+        return found.select("id", "matched_text", F.col("start").alias("start_at"))
+
+    return run
+
+
+for _label, _bad in _REJECTED.items():
+    _table, _key, _before, _value, _after = TEXTS[_label]
+    _first = f"CASE WHEN {_key} % 3 = 0 THEN {_bad} ELSE {_value} END"
+    query(
+        f"mixed_{_label.lower()}",
+        f"SELECT {_key} AS id, {_value} AS matched_text, 2 + length({_before}) AS start_at FROM {_table} WHERE {_key} % 3 <> 0 "
+        f"UNION ALL SELECT {_key}, {_value}, 5 + 2 * length({_before}) + length({_first}) + length({_after}) FROM {_table}",
+    )(_mixed_query(_label))
+
+
 def _luhn_sql(value: str, n: int = 16) -> str:
     digits = [f"CAST(substr({value}, {i + 1}, 1) AS INTEGER)" for i in range(n)]
     return " + ".join(d if (n - i) % 2 else f"(CASE WHEN {d} > 4 THEN 2 * {d} - 9 ELSE 2 * {d} END)" for i, d in enumerate(digits))
@@ -149,7 +187,15 @@ def range_systems(spark, sf_dir):
     return found.select("id", F.col("start").alias("start_at"), "byte_start", columns.utf16_range(F.col("text"), F.col("start"), F.col("end"))["start"].alias("utf16_start"))
 
 
-@query("capabilities")
+_NAMES = [*DETECTORS, "PERSON"]
+
+
+@query(
+    "capabilities",
+    "SELECT label, ordinal::INTEGER AS ordinal, CASE label WHEN 'PERSON' THEN 'veilwright/person-field' ELSE 'veilwright/' || replace(lower(label), '_', '-') END AS detector_name, "
+    f"'{VERSION}' AS detector_version, CASE WHEN label = 'PERSON' THEN 'structured' WHEN label = 'UUID' THEN 'uuid' WHEN label LIKE 'DE\\_%' ESCAPE '\\' THEN 'german' ELSE 'default' END AS activation, "
+    f"label NOT IN ('ACCOUNT_NUMBER', 'STREET_ADDRESS', 'PERSON') AS replaces_model FROM (VALUES {', '.join(f'({chr(39)}{n}{chr(39)}, {i})' for i, n in enumerate(_NAMES))}) v(label, ordinal)",
+)
 def capabilities(spark, sf_dir):
     from ..registry import capabilities as rows
 
@@ -177,17 +223,45 @@ def top_documents(spark, sf_dir):
     return report.leaders(found, "doc_id", 20)
 
 
-@query("findings_by_label")
+#: What the generated documents and pages hold, by label.
+_SHAPES = {
+    "EMAIL": r"[A-Za-z0-9.]+@mail[0-9]+\.example\.com",
+    "PHONE": r"\+1 \([0-9]{3}\) 555-[0-9]{4}|\b[2-9][0-9]{2}[1-9][0-9]{6}\b",
+    "IP_ADDRESS": r"\b[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\b",
+}
+
+
+#: Sixteen digits of an issuer whose check digit is right. Of two such in a row, the second is read.
+_APART = "regexp_replace({0}, '([0-9]{{15}})([0-9]) ([0-9])', '\\1' || chr(1) || '\\2 \\3', 'g')"
+_CARDS = (
+    "list_filter(regexp_extract_all({0}, '\\b(4|5|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|6011|62|63|64[4-9]|65|6[6-9]|30[0-5]|3[46789]|352[89]|35[3-8])[0-9]*\\b'), lambda c: length(c) = 16 AND "
+    "list_sum(list_transform(range(1, 17), lambda i: CASE WHEN i % 2 = 0 THEN coalesce(TRY_CAST(c[i] AS INTEGER), 0) WHEN coalesce(TRY_CAST(c[i] AS INTEGER), 0) > 4 THEN 2 * coalesce(TRY_CAST(c[i] AS INTEGER), 0) - 9 ELSE 2 * coalesce(TRY_CAST(c[i] AS INTEGER), 0) END)) % 10 = 0)"
+)
+
+
+def _found_sql(name: str, key: str, column: str) -> str:
+    parts = [f"SELECT {key}, 'CREDIT_CARD' AS entity_type, unnest({_CARDS.format(_APART.format(column))}) AS matched_text FROM {name}"]
+    parts += [f"SELECT {key}, '{label}' AS entity_type, unnest(regexp_extract_all({column}, '{shape}')) AS matched_text FROM {name}" for label, shape in _SHAPES.items()]
+    return f"WITH f AS ({' UNION ALL '.join(parts)}), by_value AS (SELECT entity_type, matched_text, count(*) AS n FROM f GROUP BY ALL)"
+
+
+_BY_LABEL = "SELECT entity_type, count(*) AS n, count(DISTINCT {0}) AS n_texts FROM f GROUP BY entity_type"
+
+
+@query("findings_by_label", f"{_found_sql('documents', 'doc_id', 'text')} {_BY_LABEL.format('doc_id')}")
 def findings_by_label(spark, sf_dir):
     return report.by_label(scan.findings(table(spark, sf_dir, "documents"), "doc_id"), "doc_id")
 
 
-@query("top_values")
+@query(
+    "top_values",
+    f"{_found_sql('documents', 'doc_id', 'text')} SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY entity_type ORDER BY n DESC, matched_text) AS rank FROM by_value) WHERE rank <= 5",
+)
 def top_values(spark, sf_dir):
     return report.top_values(scan.findings(table(spark, sf_dir, "documents"), "doc_id"), 5)
 
 
-@query("page_findings")
+@query("page_findings", f"{_found_sql('pages', 'page_id', 'html')} {_BY_LABEL.format('page_id')}")
 def page_findings(spark, sf_dir):
     return report.by_label(scan.findings(table(spark, sf_dir, "pages"), "page_id", "html"), "page_id")
 
@@ -205,7 +279,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("text").alias("redacted_text"), F.size("transformations").cast("long").alias("n_findings"))
 
 
-query("protect_documents")(flagship)
+_REDACTED, _COUNTED = f"replace(list_reduce([{_APART.format('text')}] || list_distinct({_CARDS.format(_APART.format('text'))}), lambda t, c: replace(t, c, '[CREDIT_CARD]')), chr(1), '')", f"len({_CARDS.format(_APART.format('text'))})"
+for _label, _shape in _SHAPES.items():
+    _REDACTED = f"regexp_replace({_REDACTED}, '{_shape}', '[{_label}]', 'g')"
+    _COUNTED += f" + len(regexp_extract_all(text, '{_shape}'))"
+query("protect_documents", f"SELECT doc_id, {_REDACTED} AS redacted_text, {_COUNTED} AS n_findings FROM documents")(flagship)
 
 _PHRASE = "the"
 _EDGE = r"[^\p{L}\p{N}_]"
@@ -419,7 +497,7 @@ def structured_exclude(spark, sf_dir):
     return structured.discover_fields(documents_json(spark, sf_dir), "id", "data", config).select("id", "path", "source")
 
 
-@query("event_leaves")
+@query("event_leaves", "SELECT '/event_type' AS path, count(event_type) AS n FROM events UNION ALL SELECT '/props', count(props) FROM events")
 def event_leaves(spark, sf_dir):
     rows = table(spark, sf_dir, "events").withColumn("data", F.to_json(F.struct("event_type", "props")))
     return structured.leaves(rows, "event_id", "data").groupBy("path").agg(F.count("*").alias("n"))
@@ -457,6 +535,64 @@ def token_items(spark, sf_dir):
     return tokens.required_items(tokenized(spark, sf_dir), "id").groupBy("id").agg(F.count("*").alias("n"))
 
 
+class _Reversed:
+    """A stand-in for a vault service: payloads are the values, reversed."""
+
+    def tokenize_batch(self, scope, items):
+        return [("7", f"{scope}/{value}".encode()[::-1]) for _, value in items]
+
+    def restore_batch(self, scope, items):
+        return [payload[::-1].decode().removeprefix(f"{scope}/") for _, _, payload in items]
+
+
+@query("tokenization_items", f"SELECT c_custkey AS id, 0 AS ord, 'EMAIL' AS entity_type, 'vault' AS token_ref, {_MAIL} AS value FROM customer UNION ALL SELECT c_custkey, 1, 'PHONE', 'vault', {_PHONE} FROM customer")
+def tokenization_items(spark, sf_dir):
+    return tokens.required_tokenization_items(contacts(spark, sf_dir), _TOKENIZE, "id")
+
+
+@query("provider_tokens", "SELECT c_custkey AS id, 2 AS n, 'DFTOKENv1' AS begins FROM customer")
+def provider_tokens(spark, sf_dir):
+    """The tokens that a provider issued stand in the texts."""
+    rows = tokens.tokenize_with(contacts(spark, sf_dir), _TOKENIZE, _Reversed(), "tenant", "id")
+    return rows.select("id", F.size("transformations").cast("long").alias("n"), F.regexp_extract("text", r"^Mail (DFTOKENv1)\(", 1).alias("begins"))
+
+
+@query("provider_roundtrip", f"SELECT c_custkey AS id, {_BOTH} AS text, 2 AS n_restored FROM customer")
+def provider_roundtrip(spark, sf_dir):
+    rows = staged(tokens.tokenize_with(contacts(spark, sf_dir), _TOKENIZE, _Reversed(), "tenant", "id").select("id", "text"), "provided")
+    return tokens.restore_with(rows, _Reversed(), "tenant", "id").select("id", "text", "n_restored")
+
+
+@query("structured_restore", f"SELECT c_custkey AS id, {_JSON} AS data FROM customer")
+def structured_restore(spark, sf_dir):
+    """Leaves are tokenized and restored."""
+    config = TransformConfig(Strategy("tokenize", token_ref="vault"))
+    rows = staged(structured.protect(documents_json(spark, sf_dir), "data", config, scope="tenant", token_key=_KEY), "structured-tokens")
+    return structured.restore(rows.select("id", "data"), staged(tokens.vault_rows(rows, "tenant"), "vault"), "tenant", "id", "data")
+
+
+@query("structured_vault", f"SELECT 'vault' AS token_ref, c_name AS value FROM customer UNION SELECT 'vault', {_MAIL} FROM customer")
+def structured_vault(spark, sf_dir):
+    config = TransformConfig(Strategy("tokenize", token_ref="vault"))
+    return tokens.vault_rows(structured.protect(documents_json(spark, sf_dir), "data", config, scope="tenant", token_key=_KEY), "tenant").select("token_ref", "value")
+
+
+@query(
+    "structured_given",
+    "SELECT c_custkey AS id, CASE WHEN c_custkey % 2 = 0 THEN '{\"id\":' || CAST(c_custkey AS STRING) || ',\"customer\":{\"firstName\":\"' || c_name || '\",\"note\":\"[WORD] ' || "
+    + _MAIL + " || '\"},\"tags\":[\"a\",\"' || c_mktsegment || '\"]}' END AS data, CASE WHEN c_custkey % 2 = 1 THEN 'invalid_finding' END AS error_code FROM customer",
+)
+def structured_given(spark, sf_dir):
+    """The caller's findings by path; those that name no leaf are set aside."""
+    no = lambda kind: F.lit(None).cast(kind)
+    path = F.when(F.col("id") % 2 == 0, "/customer/note").otherwise("/customer/nothing")
+    fields = [F.lit("WORD"), F.lit("mail"), F.lit(0).cast("long"), F.lit(4).cast("long"), no("long"), no("long"), no("float"), F.lit("given"), no("string")]
+    finding = F.struct(path.alias("path"), *[c.alias(n) for c, n in zip(fields, FINDING.names, strict=True)])
+    rows = documents_json(spark, sf_dir).withColumn("found", F.array(finding))
+    out = structured.transform_given(rows, "data", "found", TransformConfig(Strategy("redact")), on_error="quarantine")
+    return out.select("id", "data", F.col("error.code").alias("error_code"))
+
+
 _NAMESPACE, _OPERATION = b"\1" * 16, b"\0" * 16
 
 
@@ -607,7 +743,12 @@ def eval_overlap(spark, sf_dir):
     return evaluate.overlap_scores(*_scored(spark, sf_dir), "key")
 
 
-@query("eval_macro")
+@query(
+    "eval_macro",
+    f"WITH f AS (SELECT DISTINCT * FROM ({_FOUND})), g AS (SELECT DISTINCT * FROM ({_GOLD})), j AS (SELECT coalesce(f.label, g.label) AS label, f.key IS NOT NULL AS a, g.key IS NOT NULL AS b FROM f FULL JOIN g ON f.key = g.key AND f.label = g.label AND f.s = g.s), "
+    "n AS (SELECT label, count(*) FILTER (a AND b) AS tp, count(*) FILTER (a) AS found, count(*) FILTER (b) AS gold FROM j GROUP BY label), "
+    "m AS (SELECT avg(CASE WHEN found = 0 THEN 0 ELSE tp / found END) AS precision, avg(tp / gold) AS recall FROM n WHERE gold > 0) SELECT *, 2 * precision * recall / (precision + recall) AS f1 FROM m",
+)
 def eval_macro(spark, sf_dir):
     return evaluate.macro(evaluate.exact_scores(*_scored(spark, sf_dir), "key"))
 
@@ -642,6 +783,21 @@ def model_compose(spark, sf_dir):
     return models.scan_routed(rows, "id", _Names, contract, entities=["PERSON", "EMAIL"]).select("id", "entity_type", "matched_text")
 
 
+@query(
+    "model_evidence",
+    "SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'm' WHEN 2 THEN 'm' ELSE 'veilwright/denylist' END AS detector_name, "
+    "CASE WHEN c_custkey % 4 = 3 THEN 'm,veilwright/denylist' WHEN c_custkey % 4 = 0 THEN 'a,m' ELSE 'm,z' END AS sources FROM customer",
+)
+def model_evidence(spark, sf_dir):
+    """One span found by a rule and a model: by name where one has no confidence, else by confidence; denied phrases win."""
+    kind = F.col("c_custkey") % 4
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.when(kind == 3, "DENYLIST").otherwise("X").alias("entity_type"), F.lit("x").alias("matched_text"), F.lit(0).cast("long").alias("start"), F.lit(1).cast("long").alias("end"))
+    none = F.lit(None).cast("float")
+    rules = rows.withColumns({"confidence": F.when(F.col("id") % 4 == 2, F.lit(0.2).cast("float")).otherwise(none), "detector_name": F.when(F.col("id") % 4 == 0, "a").when(F.col("id") % 4 == 3, "veilwright/denylist").otherwise("z")})
+    model = rows.withColumns({"confidence": F.lit(0.9).cast("float"), "detector_name": F.lit("m")})
+    return models.compose(rules, model, "id").select("id", "detector_name", F.concat_ws(",", "sources").alias("sources"))
+
+
 @query("buffered_restore", "SELECT CAST(o_orderkey AS VARCHAR) AS response_id, 'Dear ' || c_name || ', order ' || CAST(o_orderkey AS STRING) || '.' AS text FROM orders JOIN customer ON o_custkey = c_custkey")
 def buffered_restore(spark, sf_dir):
     known, rows = aliased(spark, sf_dir)

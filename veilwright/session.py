@@ -51,6 +51,23 @@ def scratch_root(spark: SparkSession) -> str:
     return root
 
 
+#: Inputs of at most so many bytes are dealt out anew for functions that run in Python.
+SPREAD_BYTES = 256 << 20
+_EXCHANGING = ("Join", "Aggregate", "Window", "Exchange", "Sort", "Limit", "Repartition")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if it is small and read straight from files.
+
+    A small file is few row groups, so few tasks, and a function in Python then has few cores.
+    Larger inputs have tasks enough and are returned as they are, without an exchange.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if int(str(plan.stats().sizeInBytes())) > SPREAD_BYTES or any(word in plan.toString() for word in _EXCHANGING):
+        return df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
     """Deletes at its end what ``staged`` wrote within it, but for tables staged as ``lasting``.

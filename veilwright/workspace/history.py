@@ -95,13 +95,20 @@ class Versions:
         for name, df in tables.items():
             df.write.parquet(f"{self.root}/{folder}/{name}")
         head = {"revision": revision, "commit_id": commit_id, "folder": folder, "tables": sorted(tables)}
-        target, fs = self._fs(f"{self.root}/manifests/{revision}")
-        try:
-            stream = fs.create(target, False)
-        except Exception as error:
-            raise PrivacyError("review_conflict", "duplicate_value", "/head", "another version was committed first") from error
+        # the manifest appears whole or not at all: written aside, then renamed if none is there
+        written, fs = self._fs(f"{self.root}/{folder}/manifest")
+        stream = fs.create(written, False)
         try:
             stream.write(bytearray(json.dumps(head).encode()))
         finally:
             stream.close()
+        target, _ = self._fs(f"{self.root}/manifests/{revision}")
+        sc = self.spark.sparkContext
+        fs.mkdirs(target.getParent())
+        never = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 1)
+        never[0] = getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename").NONE
+        try:
+            sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(written.toUri(), sc._jsc.hadoopConfiguration()).rename(fs.makeQualified(written), fs.makeQualified(target), never)
+        except Exception as error:
+            raise PrivacyError("review_conflict", "duplicate_value", "/head", "another version was committed first") from error
         return head
