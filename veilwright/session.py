@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
-_folder: contextvars.ContextVar[str | None] = contextvars.ContextVar("folder", default=None)
+_folders: contextvars.ContextVar[tuple[str, ...]] = contextvars.ContextVar("folders", default=())
 
 
 def get_session(app: str = "veilwright", cpus: int | None = None, **conf: str) -> SparkSession:
@@ -70,16 +70,16 @@ def spread(df: DataFrame) -> DataFrame:
 
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession) -> Iterator[None]:
-    """Deletes at its end what ``staged`` wrote within it, but for tables staged as ``lasting``.
+    """Deletes at its end what ``staged`` wrote within it, but for tables staged as ``lasting``, which the scope around it has.
 
     Results are lazy and read staged tables: write them before the scope ends.
     """
     path = f"{scratch_root(spark)}/veilwright/scope-{uuid.uuid4().hex}"
-    token = _folder.set(path)
+    token = _folders.set((*_folders.get(), path))
     try:
         yield
     finally:
-        _folder.reset(token)
+        _folders.reset(token)
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
@@ -93,7 +93,8 @@ def staged(df: DataFrame, label: str, lasting: bool = False, release: bool = Fal
     plan, which nothing reads any more, go at once rather than at the next collection.
     """
     spark = df.sparkSession
-    folder = (not lasting and _folder.get()) or f"{scratch_root(spark)}/veilwright"
+    folders = (f"{scratch_root(spark)}/veilwright", *_folders.get())
+    folder = folders[-2] if lasting and len(folders) > 1 else folders[-1]
     path = f"{folder}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     if release:
