@@ -29,18 +29,18 @@ def linked_components(entries: DataFrame, facts: DataFrame, confirm: Callable[[D
     of = lambda side: facts.select(*[F.col(c).alias(f"{c}_{side}") for c in facts.columns])
     buckets = entries.groupBy("h").agg(F.min_by("rep", "ord").alias("center"), F.count("*").alias("n")).where("n > 1").select("h", "center")
     buckets = staged(buckets, f"{tag}-buckets", release=True)
-    shared = staged(maybe_in(entries, "h", buckets, "h").join(buckets, "h").select("h", "rep", "center"), f"{tag}-shared")
-    stars = staged(shared.where("rep <> center").select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct(), f"{tag}-stars")
+    shared = staged(maybe_in(entries, "h", buckets, "h").join(buckets, "h").select("h", "rep", "center"), f"{tag}-shared", release=True)
+    stars = staged(shared.where("rep <> center").select(F.least("center", "rep").alias("a"), F.greatest("center", "rep").alias("b")).distinct(), f"{tag}-stars", release=True)
     near = stars.join(of("a"), F.col("a") == F.col("rep_a")).join(of("b"), F.col("b") == F.col("rep_b")).where(possible).select("a", "b")
-    links = staged(confirm(staged(near, f"{tag}-near")), f"{tag}-links", release=True)
+    links = staged(confirm(staged(near, f"{tag}-near", release=True)), f"{tag}-links", release=True)
     parts = staged(connected_components(links, "a", "b"), f"{tag}-parts")
     placed = shared.join(parts, shared["rep"] == parts["node"], "left").select("h", "rep", F.coalesce("component", "rep").alias("part"))
-    placed = staged(placed, f"{tag}-placed")
+    placed = staged(placed, f"{tag}-placed", release=True)
     mixed = placed.groupBy("h").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("h")
-    left = staged(placed.join(staged(mixed, f"{tag}-mixed"), "h", "left_semi").join(facts, "rep"), f"{tag}-open")
+    left = staged(placed.join(staged(mixed, f"{tag}-mixed"), "h", "left_semi").join(facts, "rep"), f"{tag}-open", release=True)
     one, two = (left.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("part", *facts.columns)]) for side in "ab")
     rest = one.join(two, "h").where("rep_a < rep_b and part_a <> part_b").where(possible).select(F.col("rep_a").alias("a"), F.col("rep_b").alias("b"))
-    rest = staged(rest.distinct().join(stars, ["a", "b"], "left_anti"), f"{tag}-rest")
+    rest = staged(rest.distinct().join(stars, ["a", "b"], "left_anti"), f"{tag}-rest", release=True)
     if rest.isEmpty():
         return parts
     more = staged(confirm(rest), f"{tag}-more", release=True)
