@@ -21,7 +21,7 @@ from .words import bounded_batches, slices
 
 #: Words compiled into the lexicon, each with and without a space before it.
 LEXICON_WORDS = 50_000
-#: What each of a worker's three caches holds at most, in bytes of Python objects, about.
+#: What each half of a worker's three caches holds at most, in bytes of Python objects, about.
 CACHE_BYTES = 80 << 20
 
 _SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
@@ -48,17 +48,19 @@ class Coder:
         vocab = {raw(t): i for t, i in spec["model"]["vocab"].items()}
         self.tokens = {i: t for t, i in vocab.items()}
         self.single = [vocab[bytes([b])] for b in range(256)]
+        #: Of each pair of ids, the rank of its merge above the id that it gives.
         self.merges = {}
         for rank, (left, right) in enumerate(spec["model"]["merges"]):
             a, b = raw(left), raw(right)
-            self.merges[vocab[a], vocab[b]] = rank, vocab[a + b]
+            self.merges[vocab[a] << _ID | vocab[b]] = rank << _ID | vocab[a + b]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.tokens |= {i: t.encode() for t, i in self.special.items()}
+        self._decimal = {i: b"%d" % i for i in self.tokens}
         self._special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.lexicon = Lexicon(lexicon) if lexicon else None
         self._words = _Cache(self._word_coded)
         self._bare = _Cache(self._chunk_coded)
-        self._spaced = _Cache(lambda chunk: self._chunk_coded(" " + chunk))
+        self._spaced = _Cache(self._spaced_coded)
 
     def merge(self, word: bytes) -> list[int]:
         """Exact merges of one word: always the leftmost of the pairs of lowest rank."""
@@ -66,22 +68,22 @@ class Coder:
         if len(ids) > 48:
             return self._merge_long(ids)
         get = self.merges.get
-        found = [get(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
-        while found and (best := min(found)) is not _NONE:
-            i = found.index(best)
-            ids[i : i + 2] = [best[1]]
+        found = [get(a << _ID | b, _NONE) for a, b in zip(ids, ids[1:], strict=False)]
+        while found and (best := min(found)) != _NONE:
+            i, new = found.index(best), best & _IDS
+            ids[i : i + 2] = [new]
             del found[i]
             if i:
-                found[i - 1] = get((ids[i - 1], best[1]), _NONE)
+                found[i - 1] = get(ids[i - 1] << _ID | new, _NONE)
             if i < len(found):
-                found[i] = get((best[1], ids[i + 1]), _NONE)
+                found[i] = get(new << _ID | ids[i + 1], _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """The same with a heap and links, for words of any length."""
         n, get = len(ids), self.merges.get
         after, before = [*range(1, n), -1], [-1, *range(n - 1)]
-        heap = [(f[0], i, ids[i], ids[i + 1], f[1]) for i in range(n - 1) if (f := get((ids[i], ids[i + 1])))]
+        heap = [(f >> _ID, i, ids[i], ids[i + 1], f & _IDS) for i in range(n - 1) if (f := get(ids[i] << _ID | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
             _, i, a, b, new = heapq.heappop(heap)
@@ -93,8 +95,8 @@ class Coder:
             if after[i] >= 0:
                 before[after[i]] = i
             for x in (before[i], i):
-                if x >= 0 and after[x] >= 0 and (f := get((ids[x], ids[after[x]]))):
-                    heapq.heappush(heap, (f[0], x, ids[x], ids[after[x]], f[1]))
+                if x >= 0 and after[x] >= 0 and (f := get(ids[x] << _ID | ids[after[x]])) is not None:
+                    heapq.heappush(heap, (f >> _ID, x, ids[x], ids[after[x]], f & _IDS))
         return [i for i in ids if i >= 0]
 
     def word(self, word: str) -> list[int]:
@@ -134,34 +136,51 @@ class Coder:
     def _chunk_coded(self, chunk: str) -> tuple[bytes, bytes]:
         return _joined(list(map(self._words.__getitem__, _SPLIT.findall(chunk))))
 
+    def _spaced_coded(self, chunk: str) -> tuple[bytes, bytes]:
+        """Of a space and ``chunk``, whose first word is remembered apart from what follows it."""
+        if chunk.isalpha() and chunk.isascii():
+            return self._word_coded(" " + chunk)
+        first, *rest = _SPLIT.findall(" " + chunk)
+        if not rest:
+            return self._word_coded(first)
+        known = self._spaced[first[1:]] if first[0] == " " else self._words[first]
+        return _joined([known, *map(self._words.__getitem__, rest)])
+
     def _word_coded(self, word: str) -> tuple[bytes, bytes]:
         return self._coded(self.word(word))
 
     def _coded(self, ids: list[int]) -> tuple[bytes, bytes]:
-        return ",".join(map(str, ids)).encode(), b"".join([self.tokens[i] for i in ids])
+        return b",".join([self._decimal[i] for i in ids]), b"".join([self.tokens[i] for i in ids])
 
 
 def _joined(coded: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
     if not coded:
         return b"", b""
-    ids, raw = zip(*coded, strict=True)
-    return b",".join(ids), b"".join(raw)
+    return b",".join([ids for ids, _ in coded]), b"".join([raw for _, raw in coded])
 
 
-_NONE = (1 << 30, -1)
+#: Bits of an id in a pair or a merge.
+_ID = 24
+_IDS = (1 << _ID) - 1
+_NONE = 1 << 60
 
 
 class _Cache(dict):
-    """What ``make`` gives for a text; long texts are not kept, and all go when it is full."""
+    """What ``make`` gives for a text; long texts are not kept.
+
+    When it has taken CACHE_BYTES it becomes the older half, from which what is asked for again
+    is taken over, and the half before that goes: frequent words stay.
+    """
 
     def __init__(self, make):
-        self.make, self.room = make, CACHE_BYTES
+        self.make, self.room, self.older = make, CACHE_BYTES, {}
 
     def __missing__(self, text: str) -> tuple[bytes, bytes]:
-        value = self.make(text)
+        value = self.older.get(text) or self.make(text)
         if len(text) < 64:
             size = 320 + len(text) + len(value[0]) + len(value[1])
             if size > self.room:
+                self.older = dict(self)
                 self.clear()
                 self.room = CACHE_BYTES
             self.room -= size

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import mmap
 import struct
+import zlib
 from collections.abc import Iterable
 
 import numpy as np
 
-_MAGIC = b"VWLX0001"
+_MAGIC = b"VWLX0002"
+#: Bits for each word in the table that is asked before the automaton.
+_SCREEN = 16
 
 
 class _Node:
@@ -86,8 +89,12 @@ def build(entries: Iterable[tuple[bytes, list[int]]]) -> bytes:
     for _, own in entries:
         ids += own
         starts.append(len(ids))
-    parts = [np.array(x, "<u4").tobytes() for x in (first, targets, outputs, starts, ids)] + [final, bytes(labels)]
-    head = _MAGIC + struct.pack("<8Q", root.number, *map(len, parts))
+    screen = bytearray(max(1, len(entries) * _SCREEN // 8))
+    for word, _ in entries:
+        at = zlib.crc32(word) % (8 * len(screen))
+        screen[at >> 3] |= 1 << (at & 7)
+    parts = [np.array(x, "<u4").tobytes() for x in (first, targets, outputs, starts, ids)] + [final, bytes(screen), bytes(labels)]
+    head = _MAGIC + struct.pack("<9Q", root.number, *map(len, parts))
     return head + b"".join(parts)
 
 
@@ -99,18 +106,21 @@ class Lexicon:
             self._map = mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ)
         if self._map[:8] != _MAGIC:
             raise ValueError("not a lexicon file")
-        self._root, *sizes = struct.unpack("<8Q", self._map[8:72])
-        at, view, parts = 72, memoryview(self._map), []
+        self._root, *sizes = struct.unpack("<9Q", self._map[8:80])
+        at, view, parts = 80, memoryview(self._map), []
         for n in sizes:
             parts.append(view[at : at + n])
             at += n
         self._first, self._targets, self._outputs, self._starts, self._ids = (p.cast("I") for p in parts[:5])
-        self._final = parts[5]
-        self._labels = at - sizes[6]
+        self._final, self._screen = parts[5:7]
+        self._labels = at - sizes[7]
         self.states, self.words = len(self._final), len(self._starts) - 1
 
     def get(self, word: bytes) -> list[int] | None:
-        """The word's ids, or None if the lexicon lacks it."""
+        """The word's ids, or None if the lexicon lacks it, which the screen mostly tells at once."""
+        bit = zlib.crc32(word) % (8 * len(self._screen))
+        if not self._screen[bit >> 3] >> (bit & 7) & 1:
+            return None
         node, rank, base, first, find = self._root, 0, self._labels, self._first, self._map.find
         for i in range(len(word)):
             arc = find(word[i : i + 1], base + first[node], base + first[node + 1])
