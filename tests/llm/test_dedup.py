@@ -134,3 +134,29 @@ def test_embeddings_edge_rows(spark):
     assert (null["n_links"], null["component_id"], null["kept"]) == (0, None, True)
     with pytest.raises(ValueError):
         embeddings.plan(10, 2.0)
+
+
+def test_an_id_with_two_texts_loses_and_joins_nothing(spark):
+    texts = [(1, "alpha beta"), (1, "only copy of this"), (2, "alpha beta"), (None, "no id"), (None, "no id"), (None, "no  id too")]
+    kept = exact.drop_exact_duplicates(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0, r["text"]) for r in kept.collect()) == [(0, "no  id too"), (0, "no id"), (1, "alpha beta"), (1, "only copy of this")]
+    base, other = " ".join(f"w{i}" for i in range(60)), " ".join(f"v{i}" for i in range(60))
+    rows = [(1, base), (1, other), (3, other + " tail"), (4, base + " end")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(df, words=4).collect()}
+    assert got == {(1, 57, 1), (3, 58, 1), (4, 58, 1)}
+    left = minhash.drop_near_duplicates(df, words=4).collect()
+    assert sorted(r["text"] for r in left) == sorted([base, other])
+    x, y = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0]
+    vectors = spark.createDataFrame([(1, x), (1, y), (2, [1.0, 0.01, 0.0]), (3, [0.0, 0.0, 1.0])], "vec_id long, embedding array<double>")
+    links = sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in embeddings.near_vectors(vectors).collect())
+    assert links == [(1, 0, 1), (1, 1, 1), (2, 1, 1), (3, 0, 3)]
+
+
+def test_buckets_of_several_tiles(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(12)
+    rows = [(i, [float(x) for x in base + rng.standard_normal(12) * 0.25]) for i in range(120)]
+    monkeypatch.setattr(embeddings, "TILE", 7)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embeddings.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == brute_vectors(rows, 0.95)
