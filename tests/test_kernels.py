@@ -1,12 +1,14 @@
+import itertools
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from veilwright.config import ScanConfig, parse_scan, parse_scan_and_transform, parse_transform
 from veilwright.errors import PrivacyError
-from veilwright.kernels import markers, tree
+from veilwright.kernels import markers, tagging, tree
 from veilwright.kernels.envelope import envelope, parse_tokens
 from veilwright.kernels.spans import Finding, Policy, Scanner, _resolve_by_pairs, byte_offsets, merge, resolve, rewrite, select, utf16_range, validate
 
@@ -205,3 +207,32 @@ def test_stream_results():
     assert _streamed(["[[PERSON_000000]]"]) == (None, "unknown")
     assert _streamed(["a PERSON_ABC123 b"]) == (None, "unbracketed")
     assert _streamed(["x [[A_"]) == (None, "damaged")
+
+
+def test_best_tags_equal_brute_force():
+    rng = np.random.default_rng(5)
+    legal = lambda path: all(t not in (2, 4) or before in (t, t - 1) for before, t in zip((0, *path), path))
+    paths = {n: [p for p in itertools.product(range(5), repeat=n) if legal(p)] for n in range(1, 5)}
+    for _ in range(200):
+        scores = rng.normal(0, 3, (rng.integers(1, 5), 5)).astype(np.float32)
+        best = max(paths[len(scores)], key=lambda p: sum(float(scores[i][t]) for i, t in enumerate(p)))
+        assert tagging.best_tags(scores) == list(best)
+    assert tagging.best_tags(np.zeros((0, 5))) == [] and tagging.best_tags(np.zeros((3, 5))) == [0, 0, 0]
+    with pytest.raises(PrivacyError):
+        tagging.best_tags(np.array([[np.nan] * 5]))
+
+
+@pytest.mark.parametrize("n", [0, 1, 64, 65, 255, 256, 257, 448, 449, 1000, 8192])
+def test_windows_tile_the_tokens(n):
+    made = list(tagging.windows(n))
+    assert [i for _, own in made for i in range(own.start, own.stop)] == list(range(n))
+    assert all(seen.start <= own.start and own.stop <= seen.stop and seen.stop - seen.start <= tagging.WINDOW for seen, own in made)
+    with pytest.raises(PrivacyError):
+        list(tagging.windows(8193))
+
+
+def test_runs_of_tags():
+    text = "Ann Lee, of 12 Main St. -- Bob"
+    tokens = [(0, 3), (4, 8), (9, 11), (12, 14), (15, 19), (20, 23), (24, 26), (27, 30)]
+    spans = tagging.tagged_spans(text, tokens, [1, 2, 0, 3, 4, 4, 1, 3], ["PERSON", "ADDRESS"])
+    assert [(label, text[a:b]) for label, a, b in spans] == [("PERSON", "Ann Lee"), ("ADDRESS", "12 Main St"), ("ADDRESS", "Bob")]

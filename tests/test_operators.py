@@ -242,3 +242,59 @@ def test_findings_of_json_by_path(spark):
     held = structured.protect(rows.where("id = 1"), "text", config, scope="s", token_key=b"k")
     back = structured.restore(held.select("id", "text"), tokens.vault_rows(held, "s"), "s", "id", "text").first()
     assert back["text"] == '{"a":"x@y.co","b":["x@y.co","z"]}'
+
+
+def test_conversations(spark):
+    sends = frame(spark, [("c", "1", "pending", "m", 0), ("c", "1", "observed_sent", "m", 1), ("d", "1", "pending", "n", 0), ("e", "1", "pending", None, 0), ("e", "1", "definitely_not_sent", None, 1)], history.INTENT_SCHEMA)
+    known = frame(spark, [("c", "web", "s1"), ("d", "web", "s2"), ("e", "web", None), ("f", "web", "s1")], history.CONVERSATION_SCHEMA)
+    assert {r[0]: tuple(r)[3:] for r in history.conversation_states(known, sends).collect()} == {"c": (0, 1), "d": (1, 0), "e": (0, 0), "f": (0, 0)}
+    wanted = frame(spark, [("web", "s1"), ("web", "S2"), ("", "s1"), ("web", None)], "surface string, site_id string")
+    assert {(r["surface"], r["site_id"]): (r["conversation_id"], r["error"]) for r in history.conversations_for_sites(wanted, known).collect()} == {
+        ("web", "s1"): ("c", None), ("web", "S2"): (None, "conversation_unknown"), ("", "s1"): (None, "invalid_conversation"), ("web", None): (None, "invalid_conversation"),
+    }
+    assert [tuple(r) for r in history.open_conversation(known, sends, "c").collect()] == [("c", "m")]
+    for name, code in (("d", "conversation_pending"), ("e", "conversation_unknown"), ("g", "conversation_unknown")):
+        with pytest.raises(PrivacyError) as error:
+            history.open_conversation(known, sends, name)
+        assert error.value.code == code
+    assert history.conversation_states(known.limit(0), sends).count() == 0
+
+
+def test_a_new_head_ends_a_stream(spark, tmp_path):
+    versions = history.Versions(spark, f"file://{tmp_path}/versions")
+    known = spark.createDataFrame([("P", "ann", "Ånn 𝒳", "000000", 1)], ws.ALIAS_SCHEMA)
+    head = versions.commit({"aliases": known}, None)
+    pieces = lambda key: spark.createDataFrame([(key, 0, bytearray(b"hi [[P_00"), False), (key, 1, bytearray(b"0000]]"), True)], streaming.CHUNK_SCHEMA)
+    stream = lambda: streaming.progressive(io.stream_documents(spark, f"{tmp_path}/in", streaming.CHUNK_SCHEMA), versions.read("aliases", ws.ALIAS_SCHEMA, head))
+    run = lambda: streaming.deliver(stream(), versions, head, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    pieces("a").write.mode("append").parquet(f"{tmp_path}/in")
+    run()
+    rows = spark.read.parquet(f"{tmp_path}/out").orderBy("response_id", "seq").collect()
+    assert [(r["text"], r["n_markers"], r["n_bytes"], r["n_code_points"], r["n_utf16"]) for r in rows] == [("hi ", 0, 3, 3, 3), ("Ånn 𝒳", 1, 9, 5, 6)]
+    versions.commit({"aliases": known}, head)
+    pieces("b").write.mode("append").parquet(f"{tmp_path}/in")
+    with pytest.raises(Exception, match="workspace_conflict|another version was committed"):
+        run()
+    assert {r[0] for r in spark.read.parquet(f"{tmp_path}/out").select("response_id").collect()} == {"a"}
+
+
+def test_taggers_see_long_texts_in_windows():
+    texts = ["", "  ", "Ann " * 700, "x " * 300 + "Ann."]
+    words = lambda t: [(i, i + len(w)) for i, w in _starts(t)]
+    seen = []
+
+    def score(window):
+        seen.append(len(window))
+        return [[0, 5, 0] if w.startswith("Ann") else [5, 0, 0] for w in window]
+
+    out = list(models.Tagger(("PERSON",), words, score).spans(texts, ["PERSON"]))
+    assert [len(x) for x in out] == [0, 0, 700, 1] and out[3] == [("PERSON", 600, 603, None)] and max(seen) == 256
+    assert list(models.Tagger(("PERSON",), words, score).spans(["Ann"], [])) == [[]]
+
+
+def _starts(text):
+    at = 0
+    for word in text.split():
+        at = text.index(word, at)
+        yield at, word
+        at += len(word)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from typing import Protocol
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from .. import registry
 from ..config import ScanConfig
 from ..errors import PrivacyError, invalid_config
+from ..kernels import tagging
 from ..registry import DETECTORS
 from .scan import findings
 
@@ -37,6 +39,30 @@ class Backend(Protocol):
     def spans(self, texts: list[str], labels: list[str]) -> Iterator[list[tuple[str, int, int, float | None]]]: ...
 
 
+@dataclass(frozen=True)
+class Tagger:
+    """A backend made of a tokenizer (code point ranges) and a scorer of windows of tokens.
+
+    ``score`` gives one row of ``1 + 2 len(labels)`` logits for each word, in the order of
+    ``kernels.tagging``. Long texts are scored in overlapping windows. Spans have no confidence,
+    as logits of a path are none.
+    """
+
+    labels: tuple[str, ...]
+    tokenize: Callable[[str], list[tuple[int, int]]]
+    score: Callable[[list[str]], np.ndarray]
+
+    def spans(self, texts: list[str], labels: list[str]) -> Iterator[list[tuple[str, int, int, float | None]]]:
+        for text in texts:
+            tokens = self.tokenize(text)
+            words = [text[a:b] for a, b in tokens]
+            scores = np.zeros((len(words), 1 + 2 * len(self.labels)), np.float32)
+            for seen, own in tagging.windows(len(words)):
+                scores[own] = self.score(words[seen])[own.start - seen.start : own.stop - seen.start]
+            found = tagging.tagged_spans(text, tokens, tagging.best_tags(scores), list(self.labels))
+            yield [(label, a, b, None) for label, a, b in found if label in labels]
+
+
 def route(entities: list[str] | None, contract: ModelContract) -> tuple[list[str], list[str]]:
     """(rule labels, model labels). A label whose rule replaces the model goes to the rule alone; partial rules run with the model."""
     offered = set(contract.labels.values())

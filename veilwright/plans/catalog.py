@@ -665,6 +665,46 @@ def intent_status(spark, sf_dir):
     return history.intent_status(intents(spark, sf_dir)).groupBy("status").agg(F.count("*").alias("n"))
 
 
+def conversations(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A conversation of each customer, some without a known site, and a send for each order, resolved by its status."""
+    known = table(spark, sf_dir, "customer").selectExpr("CAST(c_custkey AS STRING) AS conversation_id", "c_mktsegment AS surface", "CASE WHEN c_custkey % 10 <> 0 THEN c_name END AS site_id")
+    sends = table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey AS STRING) AS conversation_id", "CAST(o_orderkey AS STRING) AS intent_id", "o_orderstatus", "'m' || CAST(o_orderkey % 5 AS STRING) AS marker")
+    begin = sends.selectExpr("conversation_id", "intent_id", "'pending' AS status", "marker", "CAST(0 AS BIGINT) AS seq")
+    end = sends.where("o_orderstatus <> 'P'").selectExpr("conversation_id", "intent_id", "CASE o_orderstatus WHEN 'F' THEN 'observed_sent' ELSE 'definitely_not_sent' END AS status", "marker", "CAST(1 AS BIGINT) AS seq")
+    return known, begin.unionByName(end)
+
+
+@query(
+    "conversation_states",
+    "SELECT CAST(c_custkey AS VARCHAR) AS conversation_id, c_mktsegment AS surface, CASE WHEN c_custkey % 10 <> 0 THEN c_name END AS site_id, count(*) FILTER (o_orderstatus = 'P') AS pending_intents, "
+    "count(DISTINCT o_orderkey % 5) FILTER (o_orderstatus = 'F') AS issued_markers FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_mktsegment, c_name",
+)
+def conversation_states(spark, sf_dir):
+    return history.conversation_states(*conversations(spark, sf_dir))
+
+
+@query(
+    "conversation_sites",
+    "SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 10 <> 0 THEN CAST(c_custkey AS VARCHAR) END AS conversation_id, "
+    "CASE WHEN c_custkey % 3 = 2 THEN 'invalid_conversation' WHEN c_custkey % 3 = 1 OR c_custkey % 10 = 0 THEN 'conversation_unknown' END AS error FROM customer",
+)
+def conversation_sites(spark, sf_dir):
+    """Sites by their names; some are written in other letters, some not at all."""
+    name = "CASE c_custkey % 3 WHEN 0 THEN c_name WHEN 1 THEN lower(c_name) ELSE '' END AS site_id"
+    wanted = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", "c_mktsegment AS surface", name)
+    return history.conversations_for_sites(wanted, conversations(spark, sf_dir)[0]).select("id", "conversation_id", "error")
+
+
+@query(
+    "send_statuses",
+    "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 3 = 0 THEN NULL WHEN o_orderstatus = 'P' THEN 'pending' WHEN o_orderstatus = 'F' THEN 'observed_sent' ELSE 'definitely_not_sent' END AS status, "
+    "CASE WHEN o_orderkey % 3 = 0 THEN 'invalid_send_intent' END AS error FROM orders",
+)
+def send_statuses(spark, sf_dir):
+    wanted = table(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "CAST(o_custkey AS STRING) AS conversation_id", "CASE WHEN o_orderkey % 3 = 0 THEN 'none' ELSE CAST(o_orderkey AS STRING) END AS intent_id")
+    return history.send_statuses(wanted, conversations(spark, sf_dir)[1]).select("id", "status", "error")
+
+
 @query("recall", "SELECT c_custkey AS id, n_name AS matched FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def recall(spark, sf_dir):
     """Nation names, committed as values, found again in capitals and with other spacing."""
@@ -798,6 +838,42 @@ def model_evidence(spark, sf_dir):
     return models.compose(rules, model, "id").select("id", "detector_name", F.concat_ws(",", "sources").alias("sources"))
 
 
+def _words(text):
+    import re
+
+    return [m.span() for m in re.finditer(r"\S+", text)]
+
+
+def _logits(words):
+    """Names look as if they went on, which nothing before them allows; an address begins with a number."""
+    import numpy as np
+
+    out = np.zeros((len(words), 5), np.float32)
+    for row, word in zip(out, words, strict=True):
+        if word.startswith("Customer#"):
+            row[:] = 0, 2, 3, 0, 0
+        elif word == "12":
+            row[:] = 0, 0, 0, 3, 0
+        elif word in ("Main", "St,"):
+            row[:] = 0, 0, 0, 0, 3
+        else:
+            row[0] = 3
+    return out
+
+
+def _tagger():
+    return models.Tagger(("PERSON", "ADDRESS"), _words, _logits)
+
+
+@query("model_tagger", "SELECT c_custkey AS id, 'PERSON' AS entity_type, c_name AS matched_text FROM customer UNION ALL SELECT c_custkey, 'ADDRESS', '12 Main St' FROM customer")
+def model_tagger(spark, sf_dir):
+    """Scores of words become spans by the best legal tags, over texts that are longer than a window."""
+    filler = "repeat('so it is said ', CAST(c_custkey % 90 AS INT))"
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{filler} || c_name || ' lives at 12 Main St, they say' AS text")
+    contract = models.ModelContract("tagger", {"PERSON": "PERSON", "ADDRESS": "ADDRESS"})
+    return models.model_findings(rows, "id", _tagger, contract, ["PERSON", "ADDRESS"]).select("id", "entity_type", "matched_text")
+
+
 @query("buffered_restore", "SELECT CAST(o_orderkey AS VARCHAR) AS response_id, 'Dear ' || c_name || ', order ' || CAST(o_orderkey AS STRING) || '.' AS text FROM orders JOIN customer ON o_custkey = c_custkey")
 def buffered_restore(spark, sf_dir):
     known, rows = aliased(spark, sf_dir)
@@ -812,18 +888,30 @@ def chunked(rows: DataFrame) -> DataFrame:
     return pieces.select("response_id", F.col("i").cast("long").alias("seq"), F.substring("raw", F.col("i") * 7 + 1, F.lit(7)).alias("chunk"), last.alias("eof"))
 
 
-@query("progressive_restore", "SELECT CAST(o_orderkey AS VARCHAR) AS response_id, 'Dear ' || c_name || ', order ' || CAST(o_orderkey AS STRING) || '.' AS text FROM orders JOIN customer ON o_custkey = c_custkey")
-def progressive_restore(spark, sf_dir):
-    """The same pieces as a stream; what was delivered for each response, joined in order."""
+def progressed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Those pieces as a stream, and what was delivered of it."""
     known, rows = aliased(spark, sf_dir)
     base = f"{scratch_root(spark)}/veilwright/stream-{uuid.uuid4().hex}"
     chunked(rows).write.parquet(f"{base}/in")
     out = streaming.progressive(stream_documents(spark, f"{base}/in", streaming.CHUNK_SCHEMA), known)
     write_stream(out, f"{base}/out", f"{base}/checkpoint").awaitTermination()
-    done = spark.read.schema(streaming.OUTPUT).parquet(f"{base}/out")
+    return spark.read.schema(streaming.OUTPUT).parquet(f"{base}/out")
+
+
+@query("progressive_restore", "SELECT CAST(o_orderkey AS VARCHAR) AS response_id, 'Dear ' || c_name || ', order ' || CAST(o_orderkey AS STRING) || '.' AS text FROM orders JOIN customer ON o_custkey = c_custkey")
+def progressive_restore(spark, sf_dir):
+    """What was delivered for each response, joined in order."""
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
-    return done.groupBy("response_id").agg(text.alias("text"))
+    return progressed(spark, sf_dir).groupBy("response_id").agg(text.alias("text"))
+
 
+@query(
+    "progressive_counters",
+    "SELECT CAST(o_orderkey AS VARCHAR) AS response_id, 1 AS markers, n AS bytes, n AS code_points, n AS utf16 FROM (SELECT o_orderkey, length('Dear ' || c_name || ', order ' || CAST(o_orderkey AS STRING) || '.') AS n FROM orders JOIN customer ON o_custkey = c_custkey)",
+)
+def progressive_counters(spark, sf_dir):
+    sums = {"markers": "n_markers", "bytes": "n_bytes", "code_points": "n_code_points", "utf16": "n_utf16"}
+    return progressed(spark, sf_dir).groupBy("response_id").agg(*[F.sum(c).alias(name) for name, c in sums.items()])
 
 
 @query("sql_functions", f"SELECT c_custkey AS id, 'Mail [EMAIL] or call ' || {_PHONE} || ' soon' AS text, 2 AS n FROM customer")

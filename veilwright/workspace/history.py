@@ -14,6 +14,7 @@ OPERATION_SCHEMA = "operation_id string, kind string, at_ms long, revision decim
 MAX_OPERATIONS, RESERVED = 100_000, 256
 MAX_TIME = 253_402_300_799_999
 INTENT_SCHEMA = "conversation_id string, intent_id string, status string, marker string, seq long"
+CONVERSATION_SCHEMA = "conversation_id string, surface string, site_id string"
 
 
 def append_operations(log: DataFrame, rows: DataFrame, recovery: bool = False) -> DataFrame:
@@ -52,6 +53,46 @@ def blocked_conversations(intents: DataFrame) -> DataFrame:
     return intent_status(intents).where("status = 'pending'").select("conversation_id").distinct()
 
 
+def conversation_states(conversations: DataFrame, intents: DataFrame) -> DataFrame:
+    """(conversation_id, surface, site_id, pending_intents, issued_markers): one row for each row of ``conversations``."""
+    pending = intent_status(intents).where("status = 'pending'").groupBy("conversation_id").agg(F.count("*").alias("pending_intents"))
+    issued = memberships(intents).groupBy("conversation_id").agg(F.count("*").alias("issued_markers"))
+    return conversations.select("conversation_id", "surface", "site_id").join(pending, "conversation_id", "left").join(issued, "conversation_id", "left").fillna(0, ["pending_intents", "issued_markers"])
+
+
+def conversations_for_sites(wanted: DataFrame, conversations: DataFrame) -> DataFrame:
+    """``wanted`` (surface, site_id, ...) with conversation_id and error; names are compared exactly as they are.
+
+    A null or empty name is ``invalid_conversation``; one that no conversation has is
+    ``conversation_unknown``. Of several conversations with one name the smallest id is taken.
+    """
+    names = conversations.where("surface <> '' and site_id <> ''").groupBy("surface", "site_id").agg(F.min("conversation_id").alias("conversation_id"))
+    odd = F.coalesce((F.col("surface") == "") | (F.col("site_id") == ""), F.lit(True))
+    error = F.when(odd, "invalid_conversation").when(F.col("conversation_id").isNull(), "conversation_unknown")
+    return wanted.join(names, ["surface", "site_id"], "left").withColumn("error", error)
+
+
+def send_statuses(wanted: DataFrame, intents: DataFrame) -> DataFrame:
+    """``wanted`` (conversation_id, intent_id, ...) with status and error, which is ``invalid_send_intent`` for sends never prepared."""
+    rows = wanted.join(intent_status(intents), ["conversation_id", "intent_id"], "left")
+    return rows.withColumn("error", F.when(F.col("status").isNull(), "invalid_send_intent"))
+
+
+def open_conversation(conversations: DataFrame, intents: DataFrame, conversation_id: str) -> DataFrame:
+    """The markers of a conversation in which values may be restored, as ``restore_report`` takes them.
+
+    Raises ``conversation_unknown`` if it does not exist or its site is not known yet, and
+    ``conversation_pending`` while a send in it is not resolved.
+    """
+    own = F.col("conversation_id") == conversation_id
+    state = conversation_states(conversations.where(own), intents.where(own)).orderBy(F.col("site_id").isNull(), F.col("site_id")).first()
+    if state is not None and state["pending_intents"]:
+        raise PrivacyError("conversation_pending")
+    if state is None or state["site_id"] is None:
+        raise PrivacyError("conversation_unknown")
+    return memberships(intents.where(own))
+
+
 class Versions:
     """Tables saved as numbered versions; a version is committed by creating its manifest, once.
 
