@@ -222,6 +222,13 @@ def test_best_tags_equal_brute_force():
         tagging.best_tags(np.array([[np.nan] * 5]))
 
 
+def test_tags_of_many_texts_equal_those_of_each():
+    rng = np.random.default_rng(6)
+    many = [np.round(rng.normal(0, 2, (n, 5))).astype(np.float32) for n in (3, 0, 1, 40, 40, 2, 0, 257)]
+    assert tagging.best_tags_of(many) == [tagging.best_tags(scores) for scores in many]
+    assert tagging.best_tags_of([]) == []
+
+
 @pytest.mark.parametrize("n", [0, 1, 64, 65, 255, 256, 257, 448, 449, 1000, 8192])
 def test_windows_tile_the_tokens(n):
     made = list(tagging.windows(n))

@@ -5,6 +5,7 @@ from veilwright.config import ScanConfig, parse_scan_and_transform, parse_transf
 from veilwright.errors import PrivacyError
 from veilwright.kernels import markers
 from veilwright.operators import algebra, evaluate, models, scan, structured, tokens
+from veilwright.plans import catalog
 from veilwright.sources import io
 from veilwright.streaming import restore as streaming
 from veilwright.workspace import aliases as ws
@@ -292,6 +293,13 @@ def test_taggers_see_long_texts_in_windows():
     assert list(models.Tagger(("PERSON",), words, score).spans(["Ann"], [])) == [[]]
 
 
+def test_models_run_on_all_cores_over_a_small_file(spark, tmp_path):
+    frame(spark, [(i, f"Customer#{i} lives at 12 Main St, they say") for i in range(40)]).coalesce(1).write.parquet(f"{tmp_path}/in")
+    found = models.model_findings(spark.read.parquet(f"{tmp_path}/in"), "id", catalog._tagger, models.ModelContract("tagger", {"PERSON": "PERSON"}), ["PERSON"])
+    assert found.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism > 1
+    assert sorted(r["id"] for r in found.collect()) == list(range(40))
+
+
 def _starts(text):
     at = 0
     for word in text.split():

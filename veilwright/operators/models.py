@@ -16,8 +16,11 @@ from ..config import ScanConfig
 from ..errors import PrivacyError, invalid_config
 from ..kernels import tagging
 from ..registry import DETECTORS
+from ..session import spread
 from .scan import findings
 
+#: Texts whose tokens and scores are held at a time.
+TEXTS = 512
 COLUMNS = ["entity_type", "matched_text", "start", "end", "confidence", "detector_name"]
 
 
@@ -53,14 +56,19 @@ class Tagger:
     score: Callable[[list[str]], np.ndarray]
 
     def spans(self, texts: list[str], labels: list[str]) -> Iterator[list[tuple[str, int, int, float | None]]]:
-        for text in texts:
-            tokens = self.tokenize(text)
-            words = [text[a:b] for a, b in tokens]
-            scores = np.zeros((len(words), 1 + 2 * len(self.labels)), np.float32)
-            for seen, own in tagging.windows(len(words)):
-                scores[own] = self.score(words[seen])[own.start - seen.start : own.stop - seen.start]
-            found = tagging.tagged_spans(text, tokens, tagging.best_tags(scores), list(self.labels))
-            yield [(label, a, b, None) for label, a, b in found if label in labels]
+        for at in range(0, len(texts), TEXTS):
+            part = texts[at : at + TEXTS]
+            tokens = [self.tokenize(text) for text in part]
+            tags = tagging.best_tags_of([self._scores([text[a:b] for a, b in own]) for text, own in zip(part, tokens, strict=True)])
+            for text, own, best in zip(part, tokens, tags, strict=True):
+                found = tagging.tagged_spans(text, own, best, list(self.labels))
+                yield [(label, a, b, None) for label, a, b in found if label in labels]
+
+    def _scores(self, words: list[str]) -> np.ndarray:
+        scores = np.zeros((len(words), 1 + 2 * len(self.labels)), np.float32)
+        for seen, own in tagging.windows(len(words)):
+            scores[own] = self.score(words[seen])[own.start - seen.start : own.stop - seen.start]
+        return scores
 
 
 def route(entities: list[str] | None, contract: ModelContract) -> tuple[list[str], list[str]]:
@@ -114,7 +122,7 @@ def model_findings(df: DataFrame, key_col: str, make_backend, contract: ModelCon
             yield pd.DataFrame(out, columns=[key_col, *COLUMNS])
 
     schema = f"{key_col} {dict(df.dtypes)[key_col]}, entity_type string, matched_text string, start long, end long, confidence float, detector_name string"
-    return df.select(F.col(key_col).alias("_k"), F.col(text_col).alias("_t")).mapInPandas(run, schema)
+    return spread(df.select(F.col(key_col).alias("_k"), F.col(text_col).alias("_t"))).mapInPandas(run, schema)
 
 
 def compose(rules: DataFrame, model: DataFrame, key_col: str) -> DataFrame:

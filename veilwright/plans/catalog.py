@@ -17,7 +17,7 @@ from ..functions import columns, sql
 from ..kernels.tree import StructuredConfig
 from ..operators import algebra, evaluate, models, report, scan, structured, tokens
 from ..registry import DETECTORS, VERSION
-from ..session import scratch_root, staged
+from ..session import scratch_root, spread, staged
 from ..sources.io import stream_documents, write_stream
 from ..streaming import restore as streaming
 from ..types import FINDING
@@ -869,7 +869,7 @@ def _tagger():
 def model_tagger(spark, sf_dir):
     """Scores of words become spans by the best legal tags, over texts that are longer than a window."""
     filler = "repeat('so it is said ', CAST(c_custkey % 90 AS INT))"
-    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey AS id", f"{filler} || c_name || ' lives at 12 Main St, they say' AS text")
+    rows = spread(table(spark, sf_dir, "customer").select("c_custkey", "c_name")).selectExpr("c_custkey AS id", f"{filler} || c_name || ' lives at 12 Main St, they say' AS text")
     contract = models.ModelContract("tagger", {"PERSON": "PERSON", "ADDRESS": "ADDRESS"})
     return models.model_findings(rows, "id", _tagger, contract, ["PERSON", "ADDRESS"]).select("id", "entity_type", "matched_text")
 
