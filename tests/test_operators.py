@@ -186,6 +186,22 @@ def test_any_number_of_retired_codes_is_told_from_unknown_ones(spark, sf_dir, tm
     assert {r["response_id"]: (r["failure"], r["text"]) for r in rows} == {"gone": ("expired", None), "never": ("unknown", None), "plain": (None, "to you.")}
 
 
+def test_any_number_of_aliases_is_restored_progressively(spark, sf_dir, tmp_path, monkeypatch):
+    monkeypatch.setattr(streaming, "MAX_ENTRIES", 5)
+    known, rows = catalog.aliased(spark, sf_dir)
+    assert known.count() > 5
+    catalog.chunked(rows).write.parquet(f"{tmp_path}/in")
+    spark.createDataFrame([("never", 0, b"to [[ORG_000000]].", True)], streaming.CHUNK_SCHEMA).write.mode("append").parquet(f"{tmp_path}/in")
+    out = streaming.progressive(io.stream_documents(spark, f"{tmp_path}/in", streaming.CHUNK_SCHEMA), known)
+    io.write_stream(out, f"{tmp_path}/out", f"{tmp_path}/checkpoint").awaitTermination()
+    given = spark.read.schema(streaming.OUTPUT).parquet(f"{tmp_path}/out")
+    assert [r["failure"] for r in given.where("response_id = 'never'").collect()] == ["unknown"]
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "")
+    whole = ws.restore_report(rows, known, "id")[0].select(F.col("id").cast("string").alias("response_id"), "text")
+    joined = given.where("response_id <> 'never'").groupBy("response_id").agg(text.alias("text"))
+    assert sorted(joined.collect()) == sorted(whole.collect())
+
+
 def test_names_of_the_package():
     import veilwright
 
