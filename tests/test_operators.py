@@ -186,6 +186,18 @@ def test_any_number_of_retired_codes_is_told_from_unknown_ones(spark, sf_dir, tm
     assert {r["response_id"]: (r["failure"], r["text"]) for r in rows} == {"gone": ("expired", None), "never": ("unknown", None), "plain": (None, "to you.")}
 
 
+@pytest.fixture
+def odd(spark, tmp_path):
+    """Documents of which two share an id and two have no text."""
+    rows = [(1, "a@mail1.example.com", "en", "s"), (1, "b@mail2.example.com c@mail1.example.com", "en", "s"), (2, None, "en", "s"), (3, "none", "de", "s"), (2, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_texts_that_share_an_id_are_counted_apart(spark, odd):
+    assert sorted(map(tuple, catalog.QUERIES["email_counts"](spark, odd).collect())) == [(1, 1), (1, 2)]
+
+
 def test_any_number_of_aliases_is_restored_progressively(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(streaming, "MAX_ENTRIES", 5)
     known, rows = catalog.aliased(spark, sf_dir)
