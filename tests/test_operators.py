@@ -198,6 +198,10 @@ def test_texts_that_share_an_id_are_counted_apart(spark, odd):
     assert sorted(map(tuple, catalog.QUERIES["email_counts"](spark, odd).collect())) == [(1, 1), (1, 2)]
 
 
+def test_texts_that_share_an_id_are_ranked_apart(spark, odd):
+    assert list(map(tuple, catalog.QUERIES["top_documents"](spark, odd).collect())) == [(1, 2), (1, 1)]
+
+
 def test_any_number_of_aliases_is_restored_progressively(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(streaming, "MAX_ENTRIES", 5)
     known, rows = catalog.aliased(spark, sf_dir)
