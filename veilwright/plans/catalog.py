@@ -271,7 +271,12 @@ def page_findings(spark, sf_dir):
 def redact_documents(spark, sf_dir):
     config = parse_scan_and_transform({"scan": {"entities": ["EMAIL"]}, "transform": {"default": {"strategy": "redact"}}})
     out = scan.protect(table(spark, sf_dir, "documents"), config)
-    return out.select("doc_id", "text", F.size("transformations").cast("long").alias("n"))
+    return out.select("doc_id", "text", _changes().alias("n"))
+
+
+def _changes():
+    """How many findings a text had; null where there is no text."""
+    return F.when(F.col("text").isNotNull(), F.size("transformations")).cast("long")
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
