@@ -207,6 +207,11 @@ def test_texts_that_are_missing_have_no_count_of_addresses(spark, odd):
     assert sorted(rows, key=str) == [(1, "[EMAIL] [EMAIL]", 2), (1, "[EMAIL]", 1), (2, None, None), (2, None, None), (3, "none", 0)]
 
 
+def test_texts_that_are_missing_have_no_count_of_findings(spark, odd):
+    rows = [tuple(r) for r in catalog.QUERIES["protect_documents"](spark, odd).collect()]
+    assert sorted(rows, key=str) == [(1, "[EMAIL] [EMAIL]", 2), (1, "[EMAIL]", 1), (2, None, None), (2, None, None), (3, "none", 0)]
+
+
 def test_any_number_of_aliases_is_restored_progressively(spark, sf_dir, tmp_path, monkeypatch):
     monkeypatch.setattr(streaming, "MAX_ENTRIES", 5)
     known, rows = catalog.aliased(spark, sf_dir)

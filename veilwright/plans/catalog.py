@@ -282,7 +282,7 @@ def _changes():
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     config = ScanAndTransformConfig(TransformConfig(Strategy("redact")))
     out = scan.protect(table(spark, sf_dir, "documents"), config)
-    return out.select("doc_id", F.col("text").alias("redacted_text"), F.size("transformations").cast("long").alias("n_findings"))
+    return out.select("doc_id", F.col("text").alias("redacted_text"), _changes().alias("n_findings"))
 
 
 _REDACTED, _COUNTED = f"replace(list_reduce([{_APART.format('text')}] || list_distinct({_CARDS.format(_APART.format('text'))}), lambda t, c: replace(t, c, '[CREDIT_CARD]')), chr(1), '')", f"len({_CARDS.format(_APART.format('text'))})"
